@@ -19,7 +19,7 @@ html is fetched for responses only.
 Defined cases: null html is an empty payload; payloads under ``LEAST`` bytes are always responses;
 rows that repeat both page_id and a payload of at least that size: one response, the rest
 revisit it; null page_id is kept, and refers are to the smallest known id; null urls are left out;
-line ends in urls are percent-encoded; other columns are not read.
+line ends and a record start in urls are percent-encoded; other columns are not read.
 """
 
 from __future__ import annotations
@@ -36,6 +36,8 @@ from logweave.llm.common import salted_left_join, scratch_dir, write_table
 
 SEGMENT = 1 << 20
 LEAST = 100
+#: Archives are split at this line when read. It occurs nowhere else: blocks and urls never hold it whole. It must not
+#: begin with what a record ends with, or a match across two read buffers would be missed.
 START = b"WARC/1.1\r\n"
 END = "\r\n\r\n"
 CHUNKS = "page_id long, record_type string, refers_to long, chunk int, last boolean, bytes long, digest string, payload_bytes long, payload_digest string, data binary"
@@ -79,7 +81,7 @@ def _name(page_id: int | None) -> str:
 
 def record_bytes(page_id: int | None, url: str | None, digest: str, size: int, record_type: str, refers_to: int | None, payload: bytes, segment: int = SEGMENT) -> Iterator[bytes]:
     """The WARC record (and continuation records) of one page, each without its closing empty lines."""
-    url = None if url is None else url.replace("\r", "%0D").replace("\n", "%0A")
+    url = None if url is None else url.replace("\r", "%0D").replace("\n", "%0A").replace("WARC/1.1", "WARC%2F1.1")
     common = [("WARC-Target-URI", url), ("WARC-Date", "1970-01-01T00:00:00Z"), ("WARC-Payload-Digest", f"sha256:{digest}"), ("X-Payload-Length", size)]
     if record_type == "revisit":
         yield _header([("WARC-Type", "revisit"), ("WARC-Record-ID", _name(page_id)), *common, ("WARC-Refers-To", _name(refers_to)), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("Content-Length", 0)])
@@ -143,7 +145,6 @@ def _dechunk(block: bytes) -> bytes:
 
 def parse_record(row: bytes) -> tuple[dict[str, str], bytes] | None:
     """Header fields (lower-case names) and payload part of one archive row; None for an empty row."""
-    row = row.removeprefix(START)
     if not row.strip():
         return None
     at = row.index(b"\r\n\r\n")
@@ -181,7 +182,7 @@ def read_chunks(spark: SparkSession, path: str) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
-    text = spark.read.option("lineSep", END + START.decode()).text(path)
+    text = spark.read.option("lineSep", START.decode()).text(path)
     return text.select(F.col("value").cast("binary").alias("value")).mapInArrow(parse, CHUNKS)
 
 
