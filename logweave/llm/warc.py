@@ -105,11 +105,12 @@ def write_archives(pages: DataFrame, path: str, least: int = LEAST, segment: int
     # Html of responses only; rows that repeat (page_id, digest) fetch it once.
     html = pages.select(F.col("page_id").cast("long").alias("h_page"), F.col("html").cast("binary").alias("h_html")).where(F.octet_length("h_html") >= least).withColumn("h_digest", F.sha2("h_html", 256))
     wanted = records.where((F.col("record_type") == "response") & (F.col("bytes") >= least)).drop("html")
-    met = wanted.join(html, F.col("page_id").eqNullSafe(F.col("h_page")) & (F.col("digest") == F.col("h_digest")))
-    # A response is unique by id and digest unless both ids are null; then each takes any one copy.
-    first = Window.partitionBy("h_page", "h_digest").orderBy("h_page")
-    once = met.where(F.col("page_id").isNotNull()).withColumn("k", F.row_number().over(first)).where("k = 1").drop("k", "h_page", "h_digest").withColumnRenamed("h_html", "html")
-    nameless = met.where(F.col("page_id").isNull()).drop("h_page", "h_digest").withColumnRenamed("h_html", "html")
+    # The window asks for the partitioning and the order that the join leaves, so html is dealt out once.
+    met = wanted.join(html, (F.col("page_id") == F.col("h_page")) & (F.col("digest") == F.col("h_digest")))
+    first = Window.partitionBy("page_id", "digest").orderBy("page_id")
+    once = met.withColumn("k", F.row_number().over(first)).where("k = 1").drop("k", "h_page", "h_digest").withColumnRenamed("h_html", "html")
+    unnamed = html.where(F.col("h_page").isNull()).groupBy("h_digest").agg(F.first("h_html").alias("html"))
+    nameless = wanted.where(F.col("page_id").isNull()).join(unnamed, F.col("digest") == F.col("h_digest")).drop("h_digest")
     rest = records.where((F.col("record_type") == "revisit") | (F.col("bytes") < least))
     rows = once.unionByName(nameless).unionByName(rest).select("page_id", "url", "digest", "bytes", "record_type", "refers_to", "html")
 
