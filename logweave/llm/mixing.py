@@ -84,5 +84,5 @@ def mix(docs: DataFrame, shares: Mapping[str, int], default_share: int = 1) -> D
 
 def in_order(docs: DataFrame, shares: Mapping[str, int], default_share: int = 1) -> DataFrame:
     """``docs``, its columns unchanged, dealt by ranges of slots and sorted by slot in each."""
-    mixed = mix(docs, shares, default_share)
-    return mixed.repartitionByRange("slot").sortWithinPartitions("slot").select(*docs.columns)
+    whole = docs.select(F.struct("*").alias("__row"), "doc_id", "source")
+    return mix(whole, shares, default_share).repartitionByRange("slot").sortWithinPartitions("slot").select("__row.*")
