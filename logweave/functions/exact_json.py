@@ -84,3 +84,20 @@ def project_json(raw: Column, key: str) -> Column:
         return pa.array([None if v is None else unquoted(v) for v in found], pa.string())
 
     return project(raw)
+
+
+def pretty_json(raw: Column) -> Column:
+    """A JSON object indented, keys in order; null for other lines. Meant for the few rows on show."""
+
+    def pretty(line: str | None) -> str | None:
+        try:
+            value = json.loads(line or "")
+        except ValueError:
+            return None
+        return json.dumps(value, indent=2, sort_keys=True, ensure_ascii=False) if isinstance(value, dict) else None
+
+    @arrow_udf("string")
+    def indent(lines: pa.Array) -> pa.Array:
+        return pa.array([pretty(t) for t in lines.to_pylist()], pa.string())
+
+    return indent(raw)

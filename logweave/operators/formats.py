@@ -273,7 +273,7 @@ class Access(LineFormat):
     """Common and combined access logs; the severity follows the status."""
 
     QUOTED = r'"((?:[^"\\]|\\.)*)"'
-    HEAD = rf'(?s)^([^ ]+) ([^ ]+) ([^ ]+) \[([^\]]*)\] ?{QUOTED} ?([^ ]+) ?([^ ]*) ?(?:("(?:[^"\\]|\\.)*") ?(?:("(?:[^"\\]|\\.)*")|(?!"))|(?!"))'
+    HEAD = rf'(?s)^([^ ]+) ([^ ]+) ([^ ]+) \[([^\]]*)\] ?{QUOTED} ?([^ ]++) ?+([^ ]*+) ?+(?:("(?:[^"\\]|\\.)*") ?+(?:("(?:[^"\\]|\\.)*")|(?!"))|(?!"))'
     FIELDS = {"ip": 1, "host": 1, "logname": 2, "user": 3, "status": 6, "bytes": 7}
 
     def _group(self, i: int) -> Column:
@@ -323,7 +323,7 @@ class Access(LineFormat):
 class Logback(LineFormat):
     """Logback and Log4j 2 with or without a thread."""
 
-    HEAD = r"(?s)^(.{4}-.{2}-.{2} .{8}(?:[.,][0-9]*)?) ([A-Za-z]+) *(?:\[([^\]]*)\] *|(?!\[))(.*)$"
+    HEAD = r"(?s)^(.{4}-.{2}-.{2} .{8}(?:[.,][0-9]*)?) ([A-Za-z]++) *+(?:\[([^\]]*)\] *|(?!\[))(.*)$"
 
     def _group(self, i: int) -> Column:
         return F.regexp_extract(self.raw, self.HEAD, i)

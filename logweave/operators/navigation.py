@@ -7,9 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from logweave.functions.exact_json import pretty_json
 from logweave.functions.record import severity_name, time_text
 
 CONTEXT = 5
+#: Most characters of a record that are shown.
+SHOWN = 256 * 1024
 
 
 def page(view: DataFrame, top: int, rows: int) -> DataFrame:
@@ -50,8 +53,8 @@ def last_page(view: DataFrame, rows: int = 20) -> DataFrame:
 def detail(records: DataFrame, cursor: int, around: int = CONTEXT) -> DataFrame:
     """The record and ``around`` lines to both sides, of the unfiltered table; JSON is also given indented."""
     near = records.where(F.col("line_id").between(cursor - around, cursor + around))
-    pretty = F.when(F.col("raw").rlike(r"(?s)^\s*\{.*\}\s*$"), F.expr("to_json(try_parse_json(raw), map('pretty', 'true'))"))
-    return near.select("line_id", (F.col("line_id") == cursor).alias("is_cursor"), F.substring("raw", 1, 256 * 1024).alias("raw"), pretty.alias("pretty"))
+    shown = F.substring("raw", 1, SHOWN)
+    return near.select("line_id", (F.col("line_id") == cursor).alias("is_cursor"), shown.alias("raw"), pretty_json(shown).alias("pretty"))
 
 
 def scrub_range(t_min: int, t_max: int, bins: int, b: int, zoom: tuple[int, int] | None = None) -> tuple[int, int]:
