@@ -36,8 +36,8 @@ WIDTH = 5
 BANDS, ROWS = 40, 8
 HASHES = BANDS * ROWS
 THRESHOLD = 85
-#: Shingles of a block at most, unless one set alone is larger.
-BLOCK = 150_000
+#: About how many shingles and sets a block holds; a larger set has a block to itself.
+BLOCK, BLOCK_SETS = 100_000, 512
 _U = np.uint64
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(9, 14)]] = True
@@ -178,9 +178,9 @@ def _forest(ids: np.ndarray, sets: list[np.ndarray], side: np.ndarray, same: boo
     return us, vs
 
 
-def verified_links(docs: DataFrame, clusters: DataFrame, percent: int = THRESHOLD, block: int = BLOCK) -> DataFrame:
+def verified_links(docs: DataFrame, clusters: DataFrame, percent: int = THRESHOLD, block: int = BLOCK, block_sets: int = BLOCK_SETS) -> DataFrame:
     """(u, v): a spanning forest of the true links in every cluster; ``clusters``: node, component, n_shingles."""
-    sizes = clusters.groupBy("component").agg(F.ceil(F.sum("n_shingles") / block).cast("int").alias("blocks"))
+    sizes = clusters.groupBy("component").agg(F.ceil(F.greatest(F.sum("n_shingles") / block, F.count(F.lit(1)) / block_sets)).cast("int").alias("blocks"))
     placed = clusters.join(sizes, "component").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(placed, F.col("doc_id") == F.col("node")).select("doc_id", "component", "blocks", "own", "text")
 

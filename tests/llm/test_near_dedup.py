@@ -50,7 +50,7 @@ def test_equals_brute_force(docs, words, monkeypatch, block):
             rows.append((at, mutated(words, r, base, r.choice([0, 0, 1, 2, 3, 5, 9]) if k else 0)))
             at += 1
     r.shuffle(rows)
-    monkeypatch.setattr(N.verified_links, "__defaults__", (N.THRESHOLD, block))
+    monkeypatch.setattr(N.verified_links, "__defaults__", (N.THRESHOLD, block, 7))
     got = N.near_duplicates(docs([(d, t, "en", "s") for d, t in rows])).collect()
     assert {g["doc_id"]: (g["n_shingles"], g["component_id"]) for g in got} == brute(rows)
     assert all(g["kept"] == (g["doc_id"] == g["component_id"]) for g in got) and len(got) == len(rows)
