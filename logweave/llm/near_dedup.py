@@ -182,7 +182,8 @@ def verified_links(docs: DataFrame, clusters: DataFrame, percent: int = THRESHOL
     """(u, v): a spanning forest of the true links in every cluster; ``clusters``: node, component, n_shingles."""
     sizes = clusters.groupBy("component").agg(F.ceil(F.greatest(F.sum("n_shingles") / block, F.count(F.lit(1)) / block_sets)).cast("int").alias("blocks"))
     placed = clusters.join(sizes, "component").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(placed, F.col("doc_id") == F.col("node")).select("doc_id", "component", "blocks", "own", "text")
+    # A merge at every size: members of clusters grow with the input, so they are never broadcast.
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(placed.hint("merge"), F.col("doc_id") == F.col("node")).select("doc_id", "component", "blocks", "own", "text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in text_batches(batches, 500):
@@ -214,7 +215,7 @@ def near_duplicates(docs: DataFrame, percent: int = THRESHOLD) -> DataFrame:
     reps = signed.join(sets.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").groupBy("doc_id").agg(F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"))
     keys, keys_path = write_table(reps.select("doc_id", F.explode("bands").alias("key")), "bands")
     hubs = keys.groupBy("key").agg(F.min("doc_id").alias("v"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    stars = keys.join(hubs, "key").select(F.col("doc_id").alias("u"), "v")
+    stars = keys.join(hubs.hint("merge"), "key").select(F.col("doc_id").alias("u"), "v")
     clusters = connected_components(stars, "clusters")
     clusters = clusters.join(signed.select(F.col("doc_id").alias("node"), "n_shingles").distinct(), "node")
     clusters, _ = write_table(clusters, "clusters")
