@@ -12,7 +12,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logweave.functions import edn, exact_json
@@ -57,6 +57,10 @@ class LineFormat:
         self.spec = spec
         self.raw = F.col("raw")
 
+    def prepare(self, lines: DataFrame) -> DataFrame:
+        """Add what ``parse`` uses more than once, so that it is computed once a line."""
+        return lines
+
     def parse(self) -> Parsed:
         raise NotImplementedError
 
@@ -100,18 +104,28 @@ def _priority(code: Column) -> Column:
 class Ndjson(LineFormat):
     """A JSON object a line. ``exact`` keeps the source text of values; otherwise the JVM's JSON functions are used."""
 
+    def prepare(self, lines: DataFrame) -> DataFrame:
+        """One parse a line gives the time, the level and whether the line is an object."""
+        if self.spec.exact:
+            return lines.withColumn("__json", exact_json.parse_json(self.raw, self.spec.time_field, self.spec.level_field))
+        quoted = lambda name: "`" + name.replace("`", "``") + "`"
+        fields = dict.fromkeys((self.spec.time_field, self.spec.level_field))
+        shape = ", ".join([*(f"{quoted(f)} string" for f in fields), "`__bad` string"])
+        return lines.withColumn("__json", F.from_json(F.when(self._shaped, self.raw), shape, {"columnNameOfCorruptRecord": "__bad", "mode": "PERMISSIVE"}))
+
     @property
-    def _whole(self) -> Column:
-        return self.raw.rlike(r"(?s)^\s*\{.*\}\s*$") & F.json_object_keys(self.raw).isNotNull()
+    def _shaped(self) -> Column:
+        blank = F.lit(" \t\r\n")
+        return F.ltrim(self.raw, blank).startswith("{") & F.rtrim(self.raw, blank).endswith("}")
 
     def parse(self) -> Parsed:
-        s = self.spec
-        if s.exact:
-            got = exact_json.parse_json(self.raw, s.time_field, s.level_field)
+        got = F.col("__json")
+        if self.spec.exact:
             return Parsed(got["ts_micros"], got["severity"], got["bad_ts"], got["bad_line"])
-        ts, level = self._get(s.time_field), self._get(s.level_field)
-        micros = F.when(self._whole, rfc3339_micros(ts))
-        return Parsed(micros, F.when(self._whole, severity_of(level)).otherwise(F.lit(UNKNOWN).cast("tinyint")), self._whole & ts.isNotNull() & micros.isNull(), ~self._whole)
+        whole = got.isNotNull() & got["__bad"].isNull()
+        ts = F.when(whole, got.getField(self.spec.time_field))
+        micros = rfc3339_micros(ts)
+        return Parsed(micros, severity_of(F.when(whole, got.getField(self.spec.level_field))), ts.isNotNull() & micros.isNull(), ~whole)
 
     def _get(self, key: str) -> Column:
         if "'" in key:
@@ -121,9 +135,9 @@ class Ndjson(LineFormat):
     def project(self, key: str) -> Column:
         if self.spec.exact or "'" in key:
             return exact_json.project_json(self.raw, key)
-        shaped = self.raw.rlike(r"(?s)^\s*\{.*\}\s*$")
-        there = F.array_contains(F.json_object_keys(self.raw), key)
-        return F.when(shaped, F.coalesce(self._get(key), F.when(there, "null")))
+        found = self._get(key)
+        # Keys are only looked for where there is no value, which may be a null.
+        return F.when(self._shaped, F.coalesce(found, F.when(F.array_contains(F.json_object_keys(self.raw), key), "null")))
 
 
 class Logfmt(LineFormat):
@@ -153,8 +167,11 @@ class Logfmt(LineFormat):
 class Edn(LineFormat):
     """EDN maps; namespaces of keys do not count, tags are seen through, nested values have no text."""
 
+    def prepare(self, lines: DataFrame) -> DataFrame:
+        return lines.withColumn("__edn", edn.parse_edn(self.raw, self.spec.time_field, self.spec.level_field))
+
     def parse(self) -> Parsed:
-        got = edn.parse_edn(self.raw, self.spec.time_field, self.spec.level_field)
+        got = F.col("__edn")
         return Parsed(got["ts_micros"], got["severity"], got["bad_ts"], got["bad_line"])
 
     def project(self, key: str) -> Column:
@@ -354,6 +371,9 @@ class Journalctl(Ndjson):
 
     FIELDS = {"msg": "MESSAGE", "host": "_HOSTNAME", "unit": "_SYSTEMD_UNIT", "ident": "SYSLOG_IDENTIFIER"}
 
+    def prepare(self, lines: DataFrame) -> DataFrame:
+        return lines
+
     @property
     def _severity(self) -> Column:
         p = super().project("PRIORITY")

@@ -31,13 +31,13 @@ def running(df: DataFrame, value: Column, how: str, out: str, key: str = "source
 
 
 def numbered_lines(lines: DataFrame, out: str = "seq") -> DataFrame:
-    """Add ``out``: 0-based numbers in file order. ``lines`` carries ``_path`` and ``_block`` (file and split start).
+    """Add ``out``: 0-based numbers in order of file name and place. ``lines`` carries ``_path`` and ``_block`` (file and split start).
 
     Rows of a split keep their order; the number of rows in earlier splits (one row a split) is added.
     """
     rows = lines.withColumn("__id", F.monotonically_increasing_id())
     splits = rows.groupBy("_path", "_block").agg(F.count(F.lit(1)).alias("n"), F.min("__id").alias("__first"))
-    before = Window.partitionBy("_path").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(F.lit(0)).orderBy("_path", "_block").rowsBetween(Window.unboundedPreceding, -1)
     starts = splits.select(F.col("_path").alias("__p"), F.col("_block").alias("__b"), "__first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__start"))
     met = rows.join(starts, (F.col("_path") == F.col("__p")) & (F.col("_block") == F.col("__b")))
     return met.withColumn(out, (F.col("__start") + F.col("__id") - F.col("__first")).cast("long")).drop("__id", "__p", "__b", "__first", "__start", "_path", "_block")
@@ -51,7 +51,10 @@ def dense_ids(df: DataFrame, first: str, rest: tuple[str, str], out: str = "line
     """
     source, seq = rest
     wanted = [i / ranges for i in range(1, ranges)]
-    cuts = sorted(set(df.agg(F.percentile_approx(first, wanted, 20 * ranges)).first()[0] or []))
+    n, marks = df.agg(F.count(F.lit(1)), F.percentile_approx(first, wanted, 20 * ranges)).first()
+    # Ranges of fewer rows than a chunk are joined; a value that fills a range is kept apart.
+    some = max(1, -(-ranges * chunk_rows // max(n, 1)))
+    cuts = sorted({c for i, c in enumerate(marks or []) if (i + 1) % some == 0 or i and marks[i - 1] == c})
     # A cut value begins one range and the value after it the next, so a frequent value has a range of its own.
     edges = sorted({x for c in cuts for x in (c, c + 1)})
     step = max(1, int(len(edges) ** 0.5))
@@ -63,7 +66,7 @@ def dense_ids(df: DataFrame, first: str, rest: tuple[str, str], out: str = "line
         cell = F.when(at == 0, 0).otherwise((at - 1) * step + F.size(F.filter(fine, lambda x: (x <= F.col(first)) & (x < top))))
     else:
         cell = F.lit(0)
-    single = F.col(first).isin(*cuts) if len(cuts) < 50 else F.array_contains(F.array(*map(F.lit, cuts)), F.col(first))
+    single = F.lit(False) if not cuts else F.col(first).isin(*cuts) if len(cuts) < 50 else F.array_contains(F.array(*map(F.lit, cuts)), F.col(first))
     rows = df.withColumn("__cell", cell).withColumn("__src", F.when(single, F.col(source)).otherwise(-1)).withColumn("__part", F.when(single, F.expr(f"{seq} div {chunk_rows}")).otherwise(-1))
     cells = rows.groupBy("__cell", "__src", "__part").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy(F.lit(0)).orderBy("__cell", "__src", "__part").rowsBetween(Window.unboundedPreceding, -1)

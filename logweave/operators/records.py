@@ -18,7 +18,7 @@ def parse_lines(lines: DataFrame, spec: SourceSpec, fold: bool = False) -> DataF
     made = spec.line_format()
     if fold and made.folds:
         lines = fold_lines(lines, made.continues())
-    p = made.parse()
+    lines, p = made.prepare(lines), made.parse()
     header = F.col("seq") == 0 if spec.header else F.lit(False)
     return lines.select("source_id", "seq", p.ts_micros.alias("ts_micros"), p.severity.alias("severity"), "raw", F.coalesce(p.bad_ts, F.lit(False)).alias("bad_ts"), F.coalesce(p.bad_line, F.lit(False)).alias("bad_line"), header.alias("is_header"))
 

@@ -71,7 +71,7 @@ def probe_format(spark: SparkSession, paths: list[str]) -> str | None:
 
 
 def _cleaned(lines: DataFrame, keep_cr: bool) -> DataFrame:
-    value = F.col("value") if keep_cr else F.regexp_replace("value", r"\r\z", "")
+    value = F.col("value") if keep_cr else F.when(F.col("value").endswith("\r"), F.expr("substring(value, 1, length(value) - 1)")).otherwise(F.col("value"))
     return lines.withColumn("raw", value).where("raw <> ''").drop("value")
 
 
