@@ -6,7 +6,9 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -66,11 +68,17 @@ def salted_left_join(rows: DataFrame, facts: DataFrame, key: str, salt_by: Colum
     return left.join(right, [key, "__salt"], "left").drop("__salt")
 
 
-def text_batches(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
-    """Cut Arrow batches into slices of at most ``rows`` rows, so that one slice of long texts stays small."""
+def text_batches(batches: Iterator[pa.RecordBatch], rows: int, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Cut Arrow batches into slices of at most ``rows`` rows and about ``size`` bytes of column ``text``; a longer text has a slice of its own."""
     for b in batches:
-        for at in range(0, b.num_rows, rows):
-            yield b.slice(at, rows)
+        at = b.schema.get_field_index("text")
+        upto = np.cumsum(pc.fill_null(pc.binary_length(b.column(at)), 0).to_numpy()) if at >= 0 else np.zeros(b.num_rows)
+        start = 0
+        while start < b.num_rows:
+            before = upto[start - 1] if start else 0
+            end = max(start + 1, min(start + rows, int(np.searchsorted(upto, before + size, side="right"))))
+            yield b.slice(start, end - start)
+            start = end
 
 
 def sorted_groups(batches: Iterator[pa.RecordBatch], key: str, each: Callable[[object, list[pa.RecordBatch]], pa.RecordBatch | None]) -> Iterator[pa.RecordBatch]:

@@ -70,7 +70,7 @@ def line_features(texts: list[str], most: int | None = None) -> tuple[np.ndarray
     joined = "\n".join(lines) + "\n"
     cls = _TABLE[0][np.frombuffer(joined.encode("utf-32-le", "replace"), np.uint32)]
     starts = np.concatenate([[0], np.cumsum(size + 1)[:-1]]).astype(np.int64)
-    total = lambda m: np.add.reduceat(m.astype(np.float64), starts)
+    total = lambda m: np.add.reduceat(m, starts, dtype=np.float64)
     lower, upper, digit, space, mark, other = (total(cls == k) for k in (1, 2, 3, 4, 5, 0))
     space -= 1  # the line end
     body = np.maximum(size, 1)
