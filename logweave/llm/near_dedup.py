@@ -119,8 +119,9 @@ def connected_components(edges: DataFrame, name: str = "links") -> DataFrame:
     while True:
         # Large-star: every larger neighbour of a node goes to the smallest of the node and its neighbours.
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), F.least("u", "m").alias("m"))
-        large = both.join(least, both["u"] == least["c"]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+        # A hub's edges are dealt over several tasks.
+        large = salted_left_join(both.where("v > u"), least, "u", F.col("v"), 8).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         # Small-star: a node and its smaller neighbours go to the smallest of these.
         low = large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "c")
         small = large.join(low, large["u"] == low["c"]).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
@@ -128,7 +129,7 @@ def connected_components(edges: DataFrame, name: str = "links") -> DataFrame:
         new_mark = after.agg(F.count(F.lit(1)), F.sum(F.hash("u", "v").cast("decimal(38,0)")), F.bit_xor(F.xxhash64("u", "v"))).first()
         drop_table(spark, path)
         now, path = after, new_path
-        if new_mark == mark:
+        if new_mark == mark or not new_mark[0]:
             break
         mark = new_mark
     # At the fixed point every edge leads to its component.
