@@ -91,6 +91,31 @@ fits AS (
 SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM fits WHERE k = 1"""
 
 
+def _mixing_sql() -> str:
+    share = "CASE s " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in SHARES.items()) + " ELSE 1 END"
+    return f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, coalesce(source, '<null>') AS s, row_number() OVER (PARTITION BY coalesce(source, '<null>') ORDER BY md5(coalesce(CAST(doc_id AS VARCHAR), '')), doc_id) - 1 AS block FROM documents),
+c AS (SELECT s, count(*) AS n, {share} AS a FROM d GROUP BY s),
+cuts AS (SELECT DISTINCT unnest([0, n // a, n // a + 1]) AS first FROM c),
+f AS (SELECT first, coalesce(lead(first) OVER (ORDER BY first), first + 1) AS after FROM cuts),
+p AS (
+  SELECT first, after, list(struct_pack(s := s, c := least(a, n - first * a)) ORDER BY s) AS parts, CAST(sum(least(a, n - first * a)) AS BIGINT) AS len
+  FROM f JOIN c ON first * a < n GROUP BY first, after),
+q AS (SELECT *, CAST(coalesce(sum((after - first) * len) OVER (ORDER BY first ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS base FROM p),
+sim AS (
+  SELECT first, len, parts, CAST(0 AS BIGINT) AS t, list_transform(parts, lambda x: CAST(0 AS BIGINT)) AS done, CAST(-1 AS BIGINT) AS pick FROM q
+  UNION ALL
+  SELECT first, len, parts, t + 1, list_transform(done, lambda x, i: CASE WHEN i - 1 = m THEN x + 1 ELSE x END), m FROM (
+    SELECT *, CAST(list_min(list_filter(list_transform(parts, lambda x, i: CASE WHEN done[i] < x.c AND done[i] * len // x.c <= t THEN ((done[i] + 1) * len + x.c - 1) // x.c * 1000000 + i - 1 END), lambda z: z IS NOT NULL)) % 1000000 AS BIGINT) AS m
+    FROM sim WHERE t < len)),
+slots AS (SELECT first, t - 1 AS pos, parts[pick + 1].s AS s, parts[pick + 1].c AS c, done[pick + 1] - 1 AS r FROM sim WHERE t > 0),
+g AS (SELECT d.*, d.block // c.a AS frame, d.block % c.a AS r FROM d JOIN c USING (s))
+SELECT g.doc_id, g.s AS source_name, g.block, CAST(g.frame AS BIGINT) AS frame, base + (g.frame - q.first) * len + pos AS slot,
+  base + (g.frame - q.first) * len + g.r * len // slots.c AS released, base + (g.frame - q.first) * len + ((g.r + 1) * len + slots.c - 1) // slots.c AS due
+FROM g JOIN q ON g.frame >= q.first AND g.frame < q.after JOIN slots ON slots.first = q.first AND slots.s = g.s AND slots.r = g.r"""
+
+
 #: Brute force on digests in one window; the archives must give the same after the round trip.
 _WARC_SQL = """
 WITH p AS (
@@ -141,4 +166,4 @@ FROM x q JOIN x c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id QUALIFY rank <=
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_fingerprints": _FINGERPRINT_SQL, "op4_url_filter": _url_sql(), "op6_near_dedup": _NEAR_SQL, "op7_warc": _WARC_SQL}
+    return {"op2_mixing": _mixing_sql(), "op3_fingerprints": _FINGERPRINT_SQL, "op4_url_filter": _url_sql(), "op6_near_dedup": _NEAR_SQL, "op7_warc": _WARC_SQL}
