@@ -17,7 +17,7 @@ CASES = [
     ("ndjson", {}, "{}", UNTIMED, 0, {"x": None}),
     ("ndjson", {}, '{"ts":"not a date","level":"warn"}', BAD_TS, 4, {}),
     ("ndjson", {}, "just a raw line", BAD_LINE, 0, {"x": None}),
-    ("ndjson", {}, '{"logger":"aurora.tts","payload":{"n":5},"z":null,"a.b":"c"}', UNTIMED, 0, {"logger": "aurora.tts", "payload": '{"n":5}', "missing": None, "z": "null", "a.b": "c"}),
+    ("ndjson", {}, '{"logger":"svc.tts","payload":{"n":5},"z":null,"a.b":"c"}', UNTIMED, 0, {"logger": "svc.tts", "payload": '{"n":5}', "missing": None, "z": "null", "a.b": "c"}),
     ("ndjson", {"time_field": "@timestamp", "level_field": "severity_text"}, '{"@timestamp":"2026-06-01T12:00:00Z","severity_text":"error"}', T, 5, {}),
     ("ndjson", {"exact": True}, '{"n": 1.50, "o": {"k": 1}, "s": "x\\"y", "z": null, "d": 1, "d": 2}', UNTIMED, 0, {"n": "1.50", "o": '{"k": 1}', "s": 'x\\"y', "z": "null", "d": "2"}),
     ("ndjson", {"exact": True}, '{"a":1}x', BAD_LINE, 0, {"a": None}),
