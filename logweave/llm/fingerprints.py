@@ -19,8 +19,10 @@ from pyspark.sql import functions as F
 SECTION = r"(?s).+?(?:\n{2,}|\z)"
 PARAGRAPH = r"[^\n]*\n|[^\n]+"
 LEAF = r"(?s).{1,96}?(?:[.!?]+[ \n\r\t]+|\z)|.{1,96}"
-#: Rows of a range of ids; a window over texts holds one range at a time.
+#: Rows of a range of ids; a window over texts holds one range at a time. Beyond MAX_RANGES ranges (the bounds are part
+#: of the plan) ranges grow instead, and sort with spilling.
 RANGE_ROWS = 1024
+MAX_RANGES = 8192
 
 
 def _cut(text: Column, pattern: str) -> Column:
@@ -73,7 +75,7 @@ def with_next(docs: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     n, least = docs.agg(F.count(F.lit(1)), F.min("doc_id")).first()
-    ranges = max(1, -(-n // range_rows))
+    ranges = min(MAX_RANGES, max(1, -(-n // range_rows)))
     if ranges > 1 and least is not None:
         wanted = [i / ranges for i in range(1, ranges)]
         cuts = sorted(set(docs.agg(F.percentile_approx("doc_id", wanted, max(10_000, 20 * ranges))).first()[0]))
@@ -86,8 +88,9 @@ def with_next(docs: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
         """Number of cuts that are at most the id, through a two-level search; null ids come first."""
         if not cuts:
             return F.lit(0)
-        c = F.size(F.filter(F.array(*map(F.lit, coarse)), lambda x: x <= doc_id))
-        fine = F.element_at(F.array(*(F.array(*map(F.lit, [*g, *[2**63 - 1] * (step - len(g))])) for g in groups)), F.greatest(c, F.lit(1)))
+        literal = lambda ids: "array(" + ", ".join(f"{i}L" for i in ids) + ")"
+        c = F.size(F.filter(F.expr(literal(coarse)), lambda x: x <= doc_id))
+        fine = F.element_at(F.expr(f"array({', '.join(literal([*g, *[2**63 - 1] * (step - len(g))]) for g in groups)})"), F.greatest(c, F.lit(1)))
         return F.when(doc_id.isNull() | (c == 0), 0).otherwise((c - 1) * step + F.size(F.filter(fine, lambda x: (x <= doc_id) & (x < 2**63 - 1))))
 
     last = len(cuts)
