@@ -3,8 +3,9 @@
 A document is its token ids and an end id. Documents longer than ``capacity`` are cut into
 full pieces and one shorter first piece; full pieces are sequences by themselves. For the rest:
 
-1. Lengths above ``capacity // LARGE`` are large. In descending order they are split into
-   ``GROUPS`` groups of equal cardinality and rounded up to their group's largest length.
+1. Lengths above a part of the capacity are large (a half, a third or a quarter: whichever plan is
+   expected to need the fewest sequences). In descending order they are split into ``GROUPS`` groups of equal
+   cardinality and rounded up to their group's largest length.
 2. The few rounded sizes are packed by a configuration linear program (column generation, the
    columns priced by an unbounded knapsack over the capacity); its solution is rounded down
    and the few items left over are placed by first-fit decreasing.
@@ -40,8 +41,11 @@ from pyspark.sql import functions as F
 from logweave.llm.common import rank_within, text_batches, write_table
 
 CAPACITY = 1024
-LARGE = 8
+#: Parts of the capacity above which a length may count as large.
+CUTOFFS = (2, 3, 4)
 GROUPS = 64
+#: Items that the choice between the cutoffs is simulated with, at most.
+TRIAL_ITEMS = 20_000
 END_ID = 2
 SPECIAL = {"<|endoftext|>": 50256}
 
@@ -98,7 +102,7 @@ def _best_column(values: np.ndarray, sizes: list[int], capacity: int) -> tuple[f
     return float(best[capacity]), column
 
 
-def configurations(sizes: list[int], demand: list[int], capacity: int, rounds: int = 400) -> list[tuple[list[int], int]]:
+def configurations(sizes: list[int], demand: list[int], capacity: int, rounds: int = 3000) -> list[tuple[list[int], int]]:
     """(configuration, times) that hold exactly ``demand`` items of ``sizes``: column generation, rounded down, then first-fit decreasing."""
     left = np.array(demand)
     chosen: list[tuple[list[int], int]] = []
@@ -179,6 +183,40 @@ def best_fit(rooms: dict[int, int], counts: dict[int, int], capacity: int) -> tu
     return moves, new
 
 
+def expected_sequences(plan: list[tuple[list[int], int]], grouped: list[tuple[int, list[int]]], counts: dict[int, int], small: dict[int, int], capacity: int, items: int = TRIAL_ITEMS) -> float:
+    """About how many sequences a plan needs, from a scaled-down trial of substitution and best fit."""
+    rng = np.random.default_rng(0)
+    total = sum(t * sum(c) for c, t in plan) + sum(small.values())
+    part = min(1.0, items / max(total, 1))
+    drawn = []
+    for i, (_, lengths) in enumerate(grouped):
+        weight = np.array([counts[x] for x in lengths], float)
+        drawn.append(iter(rng.choice(lengths, int(sum(c[i] * (t * part + 1) for c, t in plan)) + 1, p=weight / weight.sum())))
+    rooms: dict[int, int] = {}
+    used = 0
+    for column, times in plan:
+        for _ in range(round(times * part)):
+            left = capacity - sum(int(next(drawn[i])) for i, a in enumerate(column) for _ in range(a))
+            rooms[left] = rooms.get(left, 0) + 1
+            used += 1
+    _, new = best_fit(rooms, {k: n for k, v in small.items() if (n := round(v * part))}, capacity)
+    return (used + new) / part
+
+
+def plan_lengths(counts: dict[int, int], capacity: int, groups: int = GROUPS, cutoffs: tuple[int, ...] = CUTOFFS) -> tuple[list[tuple[int, list[int]]], list[tuple[list[int], int]], int]:
+    """Groups of large lengths, configurations of these, and the longest small length, by the best of the cutoffs."""
+    best = None
+    for cutoff in cutoffs:
+        most = capacity // cutoff
+        large = {k: v for k, v in counts.items() if k > most}
+        grouped = group_lengths(large, groups)
+        plan = configurations([g[0] for g in grouped], [sum(large[x] for x in g[1]) for g in grouped], capacity)
+        needs = expected_sequences(plan, grouped, counts, {k: v for k, v in counts.items() if k <= most}, capacity)
+        if best is None or needs < best[0]:
+            best = (needs, grouped, plan, most)
+    return best[1:]
+
+
 def pack(parts: DataFrame, capacity: int = CAPACITY, groups: int = GROUPS) -> DataFrame:
     """Add sequence_id and offset to the table of ``pieces``."""
     spark = parts.sparkSession
@@ -186,12 +224,9 @@ def pack(parts: DataFrame, capacity: int = CAPACITY, groups: int = GROUPS) -> Da
     # At most ``capacity`` rows.
     counts = {r["length"]: r["n"] for r in parts.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     full = counts.pop(capacity, 0)
-    small_most = capacity // LARGE
-    large = {k: v for k, v in counts.items() if k > small_most}
+    grouped, plan, small_most = plan_lengths(counts, capacity, groups)
     small = {k: v for k, v in counts.items() if k <= small_most}
-    grouped = group_lengths(large, groups)
-    sizes, demand = [g[0] for g in grouped], [sum(large[x] for x in g[1]) for g in grouped]
-    plan = configurations(sizes, demand, capacity)
+    sizes = [g[0] for g in grouped]
     group_of = np.full(capacity + 1, -1)
     for i, (_, lengths) in enumerate(grouped):
         group_of[lengths] = i
