@@ -3,6 +3,11 @@
 Each stage takes (spark, docs, sf_dir), works on all rows that its predecessor kept and returns
 a DataFrame that is written as Parquet and read again. All but the last return the columns of
 ``documents``; the mixing stage's decision is the order of the rows.
+
+Defined cases: null and empty texts go through every stage (quality scores them as one empty line, the
+near-duplicate stage links them with nothing, packing makes them an end id); rows that repeat an id are
+one document to the near-duplicate stage, which keeps all of them or none; a null id is kept; an empty
+table stays empty; without labels nothing is rejected.
 """
 
 from __future__ import annotations

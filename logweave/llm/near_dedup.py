@@ -16,7 +16,8 @@ Joins on keys that may be hot are salted or left to AQE's skew join; tables betw
 written to the shared folder.
 
 Defined cases: null text and text without words have the empty set and are linked with nothing;
-fewer than five words form one shingle; repeated rows give repeated results; an empty
+fewer than five words form one shingle; repeated rows give repeated results; a row without an id joins the component
+of an equal set that has one, stands for none, and ``keep_one`` keeps it; an empty
 table gives an empty result; other columns are not read (``keep_one`` keeps all columns).
 """
 
