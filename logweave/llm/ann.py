@@ -5,7 +5,9 @@ vectors each give one bit a dimension. A code is split into 8-bit substrings and
 substring has its own index. A query probes, for every substring, the buckets within
 floor(radius / number of substrings); by the pigeonhole principle that reaches every code within
 the Hamming radius. The codes found are checked over all bits, and the vectors of those within
-the radius are ranked by their exact inner product.
+the radius are ranked by their exact inner product. One radius does not suit every query: where a
+block has fewer than ``SPARE`` x k codes within it, the query's radius there grows to the least one
+that holds so many (every code if there are fewer), so no query is left with fewer than k neighbours.
 
 Rotations, centre and radius are fitted on at most ``SAMPLE`` vectors (those with the
 smallest md5 of their id), the radius as the smallest that finds ``TARGET`` of the sample's own
@@ -37,6 +39,8 @@ TARGET = 0.97
 ROTATIONS = 2
 BLOCK = 16_384
 QUERY_BLOCK = 2048
+#: A query's radius in a block grows until it holds this many times k codes.
+SPARE = 10
 ROUNDS = 30
 _NEAR = np.bitwise_count(np.arange(256, dtype=np.uint8)[:, None] ^ np.arange(256, dtype=np.uint8)[None, :])
 
@@ -84,15 +88,31 @@ class Index:
         self.rows = [np.argsort(codes[:, j], kind="stable") for j in range(codes.shape[1])]
         self.begin = [np.searchsorted(codes[:, j][r], np.arange(257)) for j, r in enumerate(self.rows)]
 
-    def within(self, code: np.ndarray, radius: int) -> np.ndarray:
-        """Rows whose code is within ``radius`` bits: substring buckets by the pigeonhole rule, then all bits."""
+    def _probe(self, code: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+        """Rows whose code is within ``radius`` bits and how far they are: substring buckets by the pigeonhole rule, then all bits."""
         most = radius // len(self.rows)
         met = np.zeros(len(self.codes), bool)
         for j, (rows, begin) in enumerate(zip(self.rows, self.begin, strict=True)):
             for value in np.nonzero(_NEAR[code[j]] <= most)[0]:
                 met[rows[begin[value] : begin[value + 1]]] = True
         found = np.nonzero(met)[0]
-        return found[np.bitwise_count(self.codes[found] ^ code).sum(1) <= radius]
+        far = np.bitwise_count(self.codes[found] ^ code).sum(1)
+        return found[far <= radius], far[far <= radius]
+
+    def within(self, code: np.ndarray, radius: int) -> np.ndarray:
+        """Rows whose code is within ``radius`` bits."""
+        return self._probe(code, radius)[0]
+
+    def reach(self, code: np.ndarray, radius: int, need: int) -> np.ndarray:
+        """Rows within ``radius`` bits or, where these are fewer than ``need``, within the least radius that holds ``need`` (all rows if there are fewer)."""
+        found, far = self._probe(code, radius)
+        if len(found) >= need:
+            return found
+        parts = len(self.rows)
+        while len(found) < min(need, len(self.codes)):
+            radius = (radius // parts + 2) * parts - 1  # the largest that probes buckets one bit further
+            found, far = self._probe(code, radius)
+        return found[far <= np.partition(far, need - 1)[need - 1]] if len(found) > need else found
 
 
 def usable(rows: DataFrame) -> DataFrame:
@@ -135,7 +155,7 @@ def nearest(rows: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
         index = Index(shared.value.encode(base))
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for q, qid, code in zip(x[asks], ids[asks], shared.value.encode(x[asks]), strict=True):
-            found = index.within(code, shared.value.radius)
+            found = index.reach(code, shared.value.radius, SPARE * k + 1)  # the query itself may be one
             found = found[base_ids[found] != qid]
             score = (base[found] * q).sum(1)
             if len(found) > k:

@@ -42,6 +42,34 @@ def test_index_probes_reach_every_code_within_the_radius():
             assert index.within(q, radius).tolist() == np.nonzero(np.bitwise_count(codes ^ q).sum(1) <= radius)[0].tolist()
 
 
+def test_lone_queries_beside_a_hot_cluster_get_all_their_neighbours(spark, monkeypatch):
+    monkeypatch.setattr(ann, "BLOCK", 800)
+    r = np.random.default_rng(4)
+    unit = lambda v: v / np.linalg.norm(v, axis=-1, keepdims=True)
+    n, ids = 2000, np.arange(2000)
+    x = unit(r.normal(size=(40, 32)))[r.integers(0, 40, n)]
+    x[r.random(n) < 0.6] = x[0]
+    x = unit(x + 0.01 * r.normal(size=x.shape))
+    lone = ids[::100]
+    x[lone] = unit(r.normal(size=(len(lone), 32)))
+    x = x.astype(np.float32).astype(np.float64)
+    got = {}
+    for row in ann.nearest(spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x, strict=True)], "vec_id long, embedding array<float>")).collect():
+        got.setdefault(row["query_id"], set()).add(row["vec_id"])
+    want = exact(x, ids, 20, 20)
+    assert {q: len(v) for q, v in got.items()} == dict.fromkeys(want, 20)
+
+
+def test_reach_holds_the_nearest_codes():
+    codes = np.random.default_rng(5).integers(0, 256, (500, 8), dtype=np.uint8)
+    index = ann.Index(codes)
+    for q in codes[::50]:
+        far = np.bitwise_count(codes ^ q).sum(1)
+        for radius, need in ((0, 1), (0, 30), (3, 500), (5, 900), (40, 2)):
+            most = max(radius, np.sort(far)[min(need, 500) - 1])
+            assert index.reach(q, radius, need).tolist() == np.nonzero(far <= most)[0].tolist()
+
+
 def test_odd_vectors_ties_and_repeats(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (2, [1.0, 0.0]), (3, None), (4, []), (5, [0.0, 0.0]), (6, [nan, 1.0]), (7, [inf, 1.0]), (8, [None, 1.0]), (9, [1.0, 2.0, 3.0]), (None, [1.0, 1.0]), (20, [-1.0, 0.5]), (40, [0.0, 0.0])]
