@@ -2,7 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir), works on all rows that its predecessor kept and returns
 a DataFrame that is written as Parquet and read again. All but the last return the columns of
-``documents``; the mixing stage's decision is the order of the rows.
+``documents``; the mixing stage's decision is the order of the rows. Files do not keep that order for sure
+and have no column for it, so packing derives the slots again (they follow from ids and sources) and numbers
+sequences by them: any prefix of sequence_id holds the sources in about their target weights.
 
 Defined cases: null and empty texts go through every stage (quality scores them as one empty line, the
 near-duplicate stage links them with nothing, packing makes them an end id); rows that repeat an id are
@@ -39,8 +41,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row a piece: where each document's tokens stand in which sequence."""
-    return packing.pack_documents(docs, *queries.vocabulary())
+    """A row a piece: where each document's tokens stand in which sequence, the sequences in the order of the slots."""
+    return packing.pack_documents(docs, *queries.vocabulary(), order=lambda rows: mixing.mix(rows, queries.SHARES))
 
 
 STAGES = [

@@ -13,6 +13,11 @@ full pieces and one shorter first piece; full pieces are sequences by themselves
 4. Small lengths then go, longest first, each into the sequences with the least room that still
    fits (best fit), and into new ones when none is left.
 
+With an order of the rows (``order``: a slot for each, as mixing gives) pieces of a length or group
+rank by slot, the plan's configurations and moves are dealt over ``STEPS`` steps so that early
+slots meet early sequences, and sequences are numbered by the mean slot of their tokens; the
+number of sequences is the same.
+
 There are at most ``capacity`` different lengths, so planning works on counts of lengths, whose
 number no input can exceed; documents meet the plan through their rank among the documents of
 their length (or length group), which many tasks compute. Plan arrays are broadcast: step 2's
@@ -31,7 +36,7 @@ from __future__ import annotations
 
 import base64
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Mapping
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +51,8 @@ CUTOFFS = (2, 3, 4)
 GROUPS = 64
 #: Items that the choice between the cutoffs is simulated with, at most.
 TRIAL_ITEMS = 20_000
+#: Steps that the plan is dealt over when rows have an order.
+STEPS = 64
 END_ID = 2
 SPECIAL = {"<|endoftext|>": 50256}
 
@@ -62,8 +69,9 @@ def rank_encoder(path: str, pattern: str):
 _ENCODERS: dict[tuple[str, str], object] = {}
 
 
-def pieces(docs: DataFrame, path: str, pattern: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
-    """doc_id, copy, piece, start, length, ids_crc32 of every piece of every document."""
+def pieces(docs: DataFrame, path: str, pattern: str, capacity: int = CAPACITY, end_id: int = END_ID, source: bool = False) -> DataFrame:
+    """doc_id, row, (source,) piece, start, length, ids_crc32 of every piece of every document."""
+    also = ["source"] if source else []
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if (path, pattern) not in _ENCODERS:
@@ -71,15 +79,15 @@ def pieces(docs: DataFrame, path: str, pattern: str, capacity: int = CAPACITY, e
         encode = _ENCODERS[path, pattern].encode
         for b in text_batches(batches, 1000):
             rows: list[tuple] = []
-            for doc, row, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for doc, row, *of, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 ids = np.array([*encode(text or "", allowed_special="all"), end_id], "<u4")
                 first = len(ids) % capacity or capacity
                 ends = range(first, len(ids) + 1, capacity)
-                rows += [(doc, row, k, e - (first if k == 0 else capacity), first if k == 0 else capacity, zlib.crc32(ids[e - (first if k == 0 else capacity) : e].tobytes())) for k, e in enumerate(ends)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "row", "piece", "start", "length", "ids_crc32"])
+                rows += [(doc, row, *of, k, e - (first if k == 0 else capacity), first if k == 0 else capacity, zlib.crc32(ids[e - (first if k == 0 else capacity) : e].tobytes())) for k, e in enumerate(ends)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), *(pa.string() for _ in also), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "row", *also, "piece", "start", "length", "ids_crc32"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), "text")
-    return rows.mapInArrow(cut, "doc_id long, row long, piece int, start long, length long, ids_crc32 long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), *(F.col(c).cast("string").alias(c) for c in also), "text")
+    return rows.mapInArrow(cut, f"doc_id long, row long, {'source string, ' * source}piece int, start long, length long, ids_crc32 long")
 
 
 def _best_column(values: np.ndarray, sizes: list[int], capacity: int) -> tuple[float, list[int]]:
@@ -183,6 +191,29 @@ def best_fit(rooms: dict[int, int], counts: dict[int, int], capacity: int) -> tu
     return moves, new
 
 
+def in_steps(plan: list[tuple[list[int], int]], steps: int) -> list[tuple[list[int], int]]:
+    """The plan with the times of each configuration dealt evenly over ``steps``."""
+    return [(column, n) for k in range(steps) for column, times in plan if (n := times * (k + 1) // steps - times * k // steps)]
+
+
+def moves_in_steps(moves: list[tuple[int, int, int, int, int]], sizes: Mapping[int, int], steps: int) -> list[tuple[int, int, int, int, int]]:
+    """The same places for each length as in ``moves``, met in the order of their part of their class (``sizes``: places of each)."""
+    places: dict[int, list[tuple[int, int, int, int]]] = {}
+    for length, _, take, cls, at in moves:
+        n = sizes[cls]
+        for k in range(at * steps // n, (at + take - 1) * steps // n + 1):
+            low, high = max(at, -(-n * k // steps)), min(at + take, -(-n * (k + 1) // steps))
+            if high > low:
+                places.setdefault(length, []).append((k, cls, low, high - low))
+    out = []
+    for length, parts in places.items():
+        rank = 0
+        for _, cls, low, n in sorted(parts):
+            out.append((length, rank, n, cls, low))
+            rank += n
+    return out
+
+
 def expected_sequences(plan: list[tuple[list[int], int]], grouped: list[tuple[int, list[int]]], counts: dict[int, int], small: dict[int, int], capacity: int, items: int = TRIAL_ITEMS) -> float:
     """About how many sequences a plan needs, from a scaled-down trial of substitution and best fit."""
     rng = np.random.default_rng(0)
@@ -217,14 +248,21 @@ def plan_lengths(counts: dict[int, int], capacity: int, groups: int = GROUPS, cu
     return best[1:]
 
 
-def pack(parts: DataFrame, capacity: int = CAPACITY, groups: int = GROUPS) -> DataFrame:
-    """Add sequence_id and offset to the table of ``pieces``."""
+def pack(parts: DataFrame, capacity: int = CAPACITY, groups: int = GROUPS, order: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Add sequence_id and offset to the table of ``pieces``; ``order`` adds a slot to (row, doc_id, source) of documents."""
     spark = parts.sparkSession
     parts, _ = write_table(parts, "pieces")
+    scaled = lambda at, n: F.lpad(F.hex((at * (2.0**32 / (n + 1))).cast("long")), 8, "0")  # noqa: E731  ascends with ``at`` of 0 to n
+    slots = 0
+    if order:
+        slot = order(parts.where(F.col("piece") == 0).select("row", "doc_id", "source")).select("row", "slot")
+        parts, _ = write_table(parts.drop("source").join(slot, "row"), "slotted")
+        slots = parts.agg(F.max("slot")).first()[0] or 0
     # At most ``capacity`` rows.
     counts = {r["length"]: r["n"] for r in parts.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     full = counts.pop(capacity, 0)
     grouped, plan, small_most = plan_lengths(counts, capacity, groups)
+    plan = in_steps(plan, STEPS) if order else plan
     small = {k: v for k, v in counts.items() if k <= small_most}
     sizes = [g[0] for g in grouped]
     group_of = np.full(capacity + 1, -1)
@@ -243,15 +281,15 @@ def pack(parts: DataFrame, capacity: int = CAPACITY, groups: int = GROUPS) -> Da
 
     # A piece's class for ranking: its group (large), its length (small), all full pieces together.
     kind = F.element_at(F.array(*(F.lit(int(group_of[k]) + 2 * capacity if group_of[k] >= 0 else k) for k in range(1, capacity + 1))), F.col("length").cast("int"))
-    digest = F.md5(F.concat_ws(":", "doc_id", "row", "piece").cast("binary"))
-    ranked = rank_within(parts.withColumn("kind", kind), ["kind"], [F.col("doc_id"), F.col("row"), F.col("piece")], digest, "place")
+    digest = scaled(F.col("slot"), slots) if order else F.md5(F.concat_ws(":", "doc_id", "row", "piece").cast("binary"))
+    also = ["slot"] if order else []
+    ranked = rank_within(parts.withColumn("kind", kind), ["kind"], [F.col(c) for c in (*also, "doc_id", "row", "piece")], digest, "place")
     ranked, _ = write_table(ranked, "ranked")
-    fields = "doc_id long, row long, piece int, start long, length long, ids_crc32 long, sequence_id long"
+    fields = f"doc_id long, row long, piece int, start long, length long, ids_crc32 long, {'slot long, ' * len(also)}sequence_id long"
+    names = ["doc_id", "row", "piece", "start", "length", "ids_crc32", *also, "sequence_id"]
 
     def columns(b: pa.RecordBatch) -> list[pa.Array]:
-        return [b.column(b.schema.get_field_index(c)) for c in ("doc_id", "row", "piece", "start", "length", "ids_crc32")]
-
-    names = ["doc_id", "row", "piece", "start", "length", "ids_crc32", "sequence_id"]
+        return [b.column(b.schema.get_field_index(c)) for c in names[:-1]]
 
     def place_large(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -267,11 +305,14 @@ def pack(parts: DataFrame, capacity: int = CAPACITY, groups: int = GROUPS) -> Da
 
     big, _ = write_table(ranked.where(F.col("length") > small_most).mapInArrow(place_large, fields), "large")
     room = big.where(F.col("length") < capacity).groupBy("sequence_id").agg((F.lit(capacity) - F.sum("length")).alias("room"))
-    room = rank_within(room, ["room"], [F.col("sequence_id")], F.md5(F.col("sequence_id").cast("string").cast("binary")), "place")
+    spread = scaled(F.col("sequence_id"), sequences) if order else F.md5(F.col("sequence_id").cast("string").cast("binary"))
+    room = rank_within(room, ["room"], [F.col("sequence_id")], spread, "place")
     rooms, _ = write_table(room, "rooms")
     # At most ``capacity`` rows again.
     room_counts = {r["room"]: r["n"] for r in rooms.groupBy("room").agg(F.count(F.lit(1)).alias("n")).collect()}
-    moves, _ = best_fit(room_counts, small, capacity)
+    moves, new = best_fit(room_counts, small, capacity)
+    if order:
+        moves = moves_in_steps(moves, {**room_counts, -1: new}, STEPS)
     by_length: dict[int, np.ndarray] = {}
     for m in moves:
         by_length.setdefault(m[0], []).append(m[1:])
@@ -295,10 +336,16 @@ def pack(parts: DataFrame, capacity: int = CAPACITY, groups: int = GROUPS) -> Da
     little = little.join(where, (F.col("cls") == F.col("room")) & (F.col("at") == F.col("room_place")), "left")
     little = little.withColumn("sequence_id", F.when(F.col("cls") < 0, F.lit(fresh) + F.col("at")).otherwise(F.col("sequence_id"))).select(*names)
     w = Window.partitionBy("sequence_id").orderBy(F.desc("length"), "doc_id", "row", "piece").rowsBetween(Window.unboundedPreceding, -1)
-    return big.unionByName(little).withColumn("offset", F.coalesce(F.sum("length").over(w), F.lit(0)))
-
-
-def pack_documents(docs: DataFrame, path: str, pattern: str, capacity: int = CAPACITY) -> DataFrame:
-    """Tokenise, cut and pack: doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece."""
-    out = pack(pieces(docs, path, pattern, capacity), capacity)
+    packed = big.unionByName(little)
+    if order:
+        packed, _ = write_table(packed, "packed")
+        middle, _ = write_table(packed.groupBy("sequence_id").agg((F.sum(F.col("slot") * F.col("length")) / F.sum("length")).alias("at")), "middle")
+        numbers = rank_within(middle, [], [F.col("at"), F.col("sequence_id")], scaled(F.col("at"), slots), "number").select("sequence_id", "number")
+        packed = packed.join(numbers, "sequence_id").withColumn("sequence_id", F.col("number")).select(*names)
+    return packed.withColumn("offset", F.coalesce(F.sum("length").over(w), F.lit(0)))
+
+
+def pack_documents(docs: DataFrame, path: str, pattern: str, capacity: int = CAPACITY, order: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Tokenise, cut and pack (by the slots of ``order``): doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece."""
+    out = pack(pieces(docs, path, pattern, capacity, source=order is not None), capacity, order=order)
     return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

@@ -1,3 +1,4 @@
+import random
 import re
 
 import corpus_pipeline as P
@@ -50,3 +51,21 @@ def test_run_equals_the_stages_and_handles_odd_tables(spark, docs, tmp_path):
         out = P.run(spark, f"{tmp_path}/{i}")
         assert (out.count() > 0) == bool(rows)
     assert near_dedup.THRESHOLD == 85
+
+
+def test_prefixes_of_the_packed_sequences_hold_the_target_weights(spark, docs, tmp_path):
+    # A third of the rows is src0 and a third src4: in their own proportions src4 would be as common as src0.
+    r = random.Random(5)
+    names = ["src0", "src4", "src1", "src0", "src4", "src2", "src0", "src4", "src3"]
+    rows = [(i, " ".join(r.choice("abcdefghijklmnop") * r.randint(1, 6) + str(r.randint(0, 9999)) for _ in range(r.randint(20, 700))), "en", names[i % 9]) for i in range(1800)]
+    docs(rows).select("doc_id", "text", "lang", "source", "n_chars").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    out = P.run(spark, str(tmp_path)).collect()
+    check(out)
+    last = max(x["sequence_id"] for x in out)
+    assert {x["sequence_id"] for x in out} == set(range(last + 1))
+    source = {i: s for i, _, _, s in rows}
+    for part in (0.2, 0.3, 0.4):  # src1, src2 and src0 last for longer
+        held = [source[x["doc_id"]] for x in out if x["sequence_id"] <= part * last and x["piece"] == 0]
+        for name, share in queries.SHARES.items():
+            assert abs(held.count(name) / len(held) - share / sum(queries.SHARES.values())) < 0.06, (part, name)
