@@ -9,7 +9,7 @@ lines' marginal probabilities of good, weighted by line length; a logistic calib
 the training documents maps it to a probability.
 
 Learning reads at most ``MAX_DOCS`` labelled documents that are not held out (those with the
-smallest md5 of their id) and at most ``MAX_LINES`` lines of each; scoring reads whole texts.
+smallest md5 of their id). Learning, calibration and scoring all read whole texts.
 
 Defined cases: null or empty text has one empty line; without anything to learn from every
 score is 0.5; labels other than 0 and 1 and null labels are not learned from; a document with
@@ -29,7 +29,6 @@ from pyspark.sql import functions as F
 from logweave.llm.common import held_out, text_batches
 
 MAX_DOCS = 3000
-MAX_LINES = 48
 STEPS = 150
 
 
@@ -47,7 +46,7 @@ def _classes() -> np.ndarray:
 _TABLE: list[np.ndarray] = []
 
 
-def line_features(texts: list[str], most: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def line_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Features of each line with its neighbours', line lengths, and lines of each text."""
     if not _TABLE:
         _TABLE.append(_classes())
@@ -55,7 +54,6 @@ def line_features(texts: list[str], most: int | None = None) -> tuple[np.ndarray
     counts, repeated, distinct, runs = [], [], [], []
     for t in texts:
         own = t.split("\n")
-        own = own if most is None else own[:most]
         seen: dict[str, int] = {}
         for x in own:
             seen[x] = seen.get(x, 0) + 1
@@ -174,7 +172,7 @@ class LineCRF:
         return 1 / (1 + np.exp(-np.clip(s, -30, 30)))
 
 
-def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, max_lines: int = MAX_LINES) -> LineCRF | None:
+def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS) -> LineCRF | None:
     """Learn from the labelled rows that are not held out; features are made on the executors."""
     marks = labels.where(F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id"))).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").cast("int").alias("quality"))
     chosen = marks.orderBy(F.md5(F.col("doc_id").cast("string").cast("binary")), "doc_id").limit(max_docs)
@@ -182,7 +180,7 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, max_line
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in text_batches(batches, 500):
-            x, size, n = line_features(b.column(2).to_pylist(), max_lines)
+            x, size, n = line_features(b.column(2).to_pylist())
             cut = np.concatenate([[0], np.cumsum(n)])
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([x[i:j].ravel().astype(np.float32) for i, j in zip(cut, cut[1:], strict=False)], pa.list_(pa.float32())), pa.array([size[i:j] for i, j in zip(cut, cut[1:], strict=False)], pa.list_(pa.int64()))], ["doc_id", "quality", "x", "size"])
 

@@ -50,6 +50,17 @@ def test_odd_rows(docs, spark):
     assert kept.columns == d.columns and kept.count() == len(ODD)
 
 
+def test_what_stands_late_in_a_text_is_learned(docs, spark):
+    r = np.random.default_rng(6)
+    prose = lambda: " ".join(r.choice(["the", "house", "stands", "near", "a", "river", "and", "people", "walk"], 9)).capitalize() + "."
+    junk = lambda: "".join(r.choice(list("#$%&*@!~^|0123456789 "), 40))
+    rows = [(i, "\n".join([prose() for _ in range(50)] + [prose() if i % 2 else junk() for _ in range(50)]), "en", "s") for i in range(150)]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i, *_ in rows], "doc_id long, quality int, toxic int")
+    d = docs(rows)
+    got = Q.score_quality(d, Q.train(d, labels)).where("held_out").collect()
+    assert len(got) > 30 and all(g["predicted"] == g["doc_id"] % 2 for g in got)
+
+
 def test_held_out_accuracy(spark):
     got = queries.op8_quality(spark, f"{DATA}/sf0.1").join(spark.read.parquet(f"{DATA}/sf0.1/labels.parquet"), "doc_id").where("held_out")
     r = got.selectExpr("avg(cast(predicted = quality as int)) a", "avg(case when quality = 0 then 1 - predicted end) bad", "avg(case when quality = 1 then predicted end) good").first()
