@@ -1,8 +1,9 @@
-"""EDN records: nesting is not regular, so an Arrow function reads the top-level map."""
+"""EDN records: an Arrow function cuts a line into tokens by one pattern and reads the top-level map by bracket depth."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -10,136 +11,73 @@ from pyspark.sql.functions import arrow_udf
 
 from logweave.functions.record import SPELLED, UNKNOWN, literal_micros
 
-_BLANK = " \t\n\r,"
-_STOP = " \t\n\r,{}[]()"
-_CLOSE = {"{": "}", "[": "]", "(": ")"}
-#: (kind, text); kinds: keyword, string, escaped (a string with escapes), bare, nested
-Element = tuple[str, str | None]
-
-
-class _Reader:
-    def __init__(self, text: str):
-        self.text, self.at = text, 0
-
-    def _blanks(self) -> None:
-        while self.at < len(self.text) and self.text[self.at] in _BLANK:
-            self.at += 1
-
-    def _run(self) -> str:
-        start = self.at
-        while self.at < len(self.text) and self.text[self.at] not in _STOP:
-            self.at += 1
-        return self.text[start : self.at]
-
-    def _string(self) -> Element:
-        self.at += 1
-        out, escaped = [], False
-        while self.at < len(self.text):
-            c = self.text[self.at]
-            if c == "\\" and self.text[self.at + 1 : self.at + 2] in ('"', "\\"):
-                out.append(self.text[self.at + 1])
-                escaped = True
-                self.at += 2
-                continue
-            self.at += 1
-            if c == '"':
-                break
-            out.append(c)
-        return ("escaped" if escaped else "string"), "".join(out)
-
-    def _nested(self) -> Element:
-        opening = self.text[self.at]
-        closing, depth, quoted = _CLOSE[opening], 0, False
-        while self.at < len(self.text):
-            c = self.text[self.at]
-            self.at += 1
-            if quoted:
-                if c == "\\":
-                    self.at += 1
-                quoted = c != '"'
-            elif c == '"':
-                quoted = True
-            elif c == opening:
-                depth += 1
-            elif c == closing:
-                depth -= 1
-                if depth == 0:
-                    break
-        return "nested", None
-
-    def element(self) -> Element | None:
-        self._blanks()
-        c = self.text[self.at : self.at + 1]
-        if c == "" or c in "}])":
-            return None
-        if c == '"':
-            return self._string()
-        if c in _CLOSE:
-            return self._nested()
-        if c == ":":
-            self.at += 1
-            return "keyword", self._run()
-        if c == "#":  # a tag: what it tags counts
-            self.at += 1
-            self._run()
-            return self.element()
-        return "bare", self._run()
-
-    def pairs(self) -> Iterator[tuple[Element, Element]]:
-        self._blanks()
-        if self.text[self.at : self.at + 1] != "{":
-            return
-        self.at += 1
-        while True:
-            self._blanks()
-            if self.text[self.at : self.at + 1] in ("", "}"):
+#: Blanks and commas separate; a tag says how to read what follows it, which is not needed here.
+_TOKEN = re.compile(
+    r"""(?P<open>[{(\[]) | (?P<close>[})\]]) | (?P<tag>\#[^ \t\n\r,{}()\[\]]*)
+      | "(?P<string>(?:[^"\\]|\\.|\\\Z)*)"? | :(?P<keyword>[^ \t\n\r,{}()\[\]]*) | (?P<bare>[^ \t\n\r,{}()\[\]"\#:][^ \t\n\r,{}()\[\]]*)""",
+    re.VERBOSE | re.DOTALL | re.ASCII,
+)
+_ESCAPE = re.compile(r'\\(["\\])')
+
+
+def entries(line: str) -> Iterator[tuple[str | None, str | None]]:
+    """(name, text) of the entries of a line's map, in order.
+
+    Keys that are keywords or strings without escapes have a name, less its namespace; nested values have no text.
+    """
+    tokens = _TOKEN.finditer(line)
+    if (head := next(tokens, None)) is None or head["open"] != "{":
+        return
+    depth, name, at_value = 1, None, False
+    for token in tokens:
+        kind, text = token.lastgroup, token[token.lastgroup]
+        if kind == "close":
+            depth -= 1
+            if depth == 0:
                 return
-            key = self.element()
-            value = self.element() if key is not None else None
-            if key is None or value is None:
-                return
-            yield key, value
-
-
-def name_of(key: Element) -> str | None:
-    """A key's name without its namespace; strings with escapes and other kinds have none."""
-    return key[1].rpartition("/")[2] if key[0] in ("keyword", "string") else None
-
-
-def read_record(text: str, time_field: str, level_field: str) -> tuple[int | None, int, bool, bool]:
-    """(ts_micros, severity, bad_ts, bad_line): the last of repeated fields counts."""
-    ts, level, bad, any_pair = None, UNKNOWN, False, False
-    for key, (_, value) in _Reader(text).pairs():
-        any_pair = True
-        name = name_of(key)
-        if name == time_field and value is not None:
-            micros = literal_micros(value)
-            ts, bad = (micros, bad) if micros is not None else (ts, True)
+        if kind == "open":
+            depth += 1
+        if kind in ("close", "tag") or depth > 1 + (kind == "open"):
+            continue
+        if not at_value:
+            named = kind == "keyword" or kind == "string" and not _ESCAPE.search(text)
+            name = text.rpartition("/")[2] if named else None
+        else:
+            yield name, None if kind == "open" else _ESCAPE.sub(r"\1", text) if kind == "string" else text
+        at_value = not at_value
+
+
+def read_line(line: str, time_field: str, level_field: str, wanted: Sequence[str] = ()) -> tuple[int | None, int, bool, bool, list[str | None]]:
+    """(ts_micros, severity, bad_ts, bad_line, texts of ``wanted``): the last of repeated times and levels counts, the first of wanted fields."""
+    micros, level, times, any_entry = None, None, False, False
+    found: dict[str, str | None] = {}
+    for name, text in entries(line):
+        any_entry = True
+        if name == time_field and text is not None:
+            read, times = literal_micros(text), True
+            micros = micros if read is None else read
         elif name == level_field:
-            level = SPELLED.get(value, UNKNOWN)
-    return ts, level, ts is None and bad, not any_pair
-
+            level = text
+        if name is not None:
+            found.setdefault(name, text)
+    return micros, SPELLED.get(level, UNKNOWN), times and micros is None, not any_entry, [found.get(k) for k in wanted]
 
-def read_field(text: str, wanted: str) -> str | None:
-    """The first value under the name; nested values have no text."""
-    return next((value for key, (_, value) in _Reader(text).pairs() if name_of(key) == wanted), None)
 
+def parse_edn(raw: Column, time_field: str, level_field: str, wanted: Sequence[str] = ()) -> Column:
+    """struct(ts_micros, severity, bad_ts, bad_line, texts), texts in the order of ``wanted``: one pass a line for all."""
+    types = (pa.int64(), pa.int8(), pa.bool_(), pa.bool_(), pa.list_(pa.string()))
+    names = ("ts_micros", "severity", "bad_ts", "bad_line", "texts")
+    wanted = tuple(wanted)
 
-def parse_edn(raw: Column, time_field: str, level_field: str) -> Column:
-    """struct(ts_micros, severity, bad_ts, bad_line)"""
-    shape = pa.struct([("ts_micros", pa.int64()), ("severity", pa.int8()), ("bad_ts", pa.bool_()), ("bad_line", pa.bool_())])
-    names = [f.name for f in shape]
-
-    @arrow_udf("struct<ts_micros:bigint,severity:tinyint,bad_ts:boolean,bad_line:boolean>")
+    @arrow_udf("struct<ts_micros:bigint,severity:tinyint,bad_ts:boolean,bad_line:boolean,texts:array<string>>")
     def parse(lines: pa.Array) -> pa.Array:
-        return pa.array([dict(zip(names, read_record(t or "", time_field, level_field), strict=True)) for t in lines.to_pylist()], shape)
+        columns = zip(*(read_line(t or "", time_field, level_field, wanted) for t in lines.to_pylist()), strict=True)
+        made = [pa.array(c, t) for c, t in zip(columns, types, strict=False)] or [pa.array([], t) for t in types]
+        return pa.StructArray.from_arrays(made, names)
 
     return parse(raw)
 
 
 def project_edn(raw: Column, key: str) -> Column:
-    @arrow_udf("string")
-    def project(lines: pa.Array) -> pa.Array:
-        return pa.array([None if t is None else read_field(t, key) for t in lines.to_pylist()], pa.string())
-
-    return project(raw)
+    """The text of the first value under the name."""
+    return parse_edn(raw, "", "", (key,))["texts"][0]

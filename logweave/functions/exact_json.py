@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -51,39 +52,38 @@ def unquoted(value: str) -> str:
     return value[1:-1] if len(value) >= 2 and value[0] == value[-1] == '"' else value
 
 
-def read_record(line: str, time_field: str, level_field: str, renamed: bool) -> tuple[int | None, int, bool, bool]:
-    """(ts_micros, severity, bad_ts, bad_line) of a line."""
+def read_line(line: str, time_field: str, level_field: str, wanted: Sequence[str] = ()) -> tuple[int | None, int, bool, bool, list[str | None]]:
+    """(ts_micros, severity, bad_ts, bad_line, texts of ``wanted``) of a line, from one reading of it."""
     fields = raw_fields(line)
     if fields is None:
-        return None, UNKNOWN, False, True
+        return None, UNKNOWN, False, True, [None] * len(wanted)
+    texts = [unquoted(fields[k]) if k in fields else None for k in wanted]
     ts, level = fields.get(time_field), fields.get(level_field)
     odd = [v for v in (ts, level) if v is not None and v != "null" and (v[0] != '"' or "\\" in v)]
-    if odd and not renamed:
-        return None, UNKNOWN, False, True
+    if odd and (time_field, level_field) == ("ts", "level"):
+        return None, UNKNOWN, False, True, texts
     ts, level = (None if v is None or v == "null" or v in odd else unquoted(v) for v in (ts, level))
     micros = None if ts is None else literal_micros(ts)
-    return micros, SPELLED.get(level, UNKNOWN), ts is not None and micros is None, False
+    return micros, SPELLED.get(level, UNKNOWN), ts is not None and micros is None, False, texts
 
 
-def parse_json(raw: Column, time_field: str, level_field: str) -> Column:
-    shape = pa.struct([("ts_micros", pa.int64()), ("severity", pa.int8()), ("bad_ts", pa.bool_()), ("bad_line", pa.bool_())])
-    names = [f.name for f in shape]
-    renamed = (time_field, level_field) != ("ts", "level")
+def parse_json(raw: Column, time_field: str, level_field: str, wanted: Sequence[str] = ()) -> Column:
+    """struct(ts_micros, severity, bad_ts, bad_line, texts), texts in the order of ``wanted``: one pass a line for all."""
+    types = (pa.int64(), pa.int8(), pa.bool_(), pa.bool_(), pa.list_(pa.string()))
+    names = ("ts_micros", "severity", "bad_ts", "bad_line", "texts")
+    wanted = tuple(wanted)
 
-    @arrow_udf("struct<ts_micros:bigint,severity:tinyint,bad_ts:boolean,bad_line:boolean>")
+    @arrow_udf("struct<ts_micros:bigint,severity:tinyint,bad_ts:boolean,bad_line:boolean,texts:array<string>>")
     def parse(lines: pa.Array) -> pa.Array:
-        return pa.array([dict(zip(names, read_record(t or "", time_field, level_field, renamed), strict=True)) for t in lines.to_pylist()], shape)
+        columns = zip(*(read_line(t or "", time_field, level_field, wanted) for t in lines.to_pylist()), strict=True)
+        made = [pa.array(c, t) for c, t in zip(columns, types, strict=False)] or [pa.array([], t) for t in types]
+        return pa.StructArray.from_arrays(made, names)
 
     return parse(raw)
 
 
 def project_json(raw: Column, key: str) -> Column:
-    @arrow_udf("string")
-    def project(lines: pa.Array) -> pa.Array:
-        found = ((raw_fields(t) or {}).get(key) if t is not None else None for t in lines.to_pylist())
-        return pa.array([None if v is None else unquoted(v) for v in found], pa.string())
-
-    return project(raw)
+    return parse_json(raw, "", "", (key,))["texts"][0]
 
 
 def pretty_json(raw: Column) -> Column:

@@ -17,7 +17,8 @@ SPELLED = {form: code for name, code in LEVELS.items() for form in (name, name.c
 #: What an untimed record counts as where an order over times is needed.
 UNTIMED_ORDER = -(2**63)
 MICROS = 1_000_000
-RFC3339 = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}[T ][0-9]{2}:[0-9]{2}:[0-9]{2}(?:\.[0-9]{0,9})?(?:Z|[+-][0-9]{2}:[0-9]{2})$"
+_WHOLE_TIME = r"[0-9]{4}-[0-9]{2}-[0-9]{2}[T ][0-9]{2}:[0-9]{2}:[0-9]{2}(?:\.[0-9]{0,9})?(?:Z|[+-][0-9]{2}:[0-9]{2})"
+RFC3339 = rf"^{_WHOLE_TIME}\z"
 #: Text to append to a time of so many characters. Fixed values.
 PADDING = {4: "-01-01T00:00:00Z", 7: "-01T00:00:00Z", 10: "T00:00:00Z", 13: ":00:00Z", 16: ":00Z", 19: "Z"}
 
@@ -62,7 +63,7 @@ def _rolled_micros(text: Column) -> Column:
 
 def literal_micros(text: str) -> int | None:
     """``rfc3339_micros`` of a plain string."""
-    if not re.fullmatch(RFC3339[1:-1], text, re.ASCII):
+    if not re.fullmatch(_WHOLE_TIME, text, re.ASCII):
         return None
     y, m, d, hh, mm, ss = (int(text[a:b]) for a, b in ((0, 4), (5, 7), (8, 10), (11, 13), (14, 16), (17, 19)))
     year = y - (m <= 2)
@@ -87,6 +88,11 @@ def padded_micros(text: Column) -> Column:
 
 
 def time_text(micros: Column) -> Column:
-    """``YYYY-MM-DDTHH:MM:SS.ffffff``; a dash for untimed records and for 0."""
-    stamp = F.timestamp_micros(micros)
-    return F.when(micros.isNull() | (micros == 0), "—").otherwise(F.date_format(stamp, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))
+    """``YYYY-MM-DDTHH:MM:SS.ffffff`` in UTC, whatever the session's zone; a dash for untimed records and for 0."""
+    within = F.pmod(micros, F.lit(86400 * MICROS))
+    # A multiple of a day's length divides without a rest, so the quotient is exact.
+    day = F.date_add(F.lit("1970-01-01").cast("date"), ((micros - within) / F.lit(86400 * MICROS)).cast("int"))
+    second = F.floor(within / MICROS).cast("int")
+    clock = [F.floor(second / 3600), F.floor(second / 60) % 60, second % 60, within % MICROS]
+    shown = F.format_string("%sT%02d:%02d:%02d.%06d", day.cast("string"), *(x.cast("int") for x in clock))
+    return F.when(micros.isNull() | (micros == 0), "—").otherwise(shown)

@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import Column, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 
@@ -20,10 +21,11 @@ class PatternError(ValueError):
 
 @dataclass(frozen=True)
 class Translated:
-    """A JVM pattern and the numbers of its named groups."""
+    """A JVM pattern, the numbers of its named groups and the number of all groups."""
 
     pattern: str
     groups: dict[str, int]
+    count: int
 
 
 def translate(pattern: str) -> Translated:
@@ -96,7 +98,7 @@ def translate(pattern: str) -> Translated:
         i += 1
     if in_class:
         raise PatternError("unclosed character class")
-    return Translated("(?Ud)" + "".join(out), groups)
+    return Translated("(?Ud)" + "".join(out), groups, count)
 
 
 def checked(pattern: str) -> Translated:
@@ -115,6 +117,19 @@ def checked(pattern: str) -> Translated:
     return made
 
 
+_MARK = "\u0001"
+
+
+def all_groups(text: Column, pattern: str, groups: int) -> Column:
+    """The groups of an anchored pattern at their numbers in one array, from one match; an array of one element where it does not match.
+
+    The match is rewritten into its groups with a mark between them. Texts that hold the mark themselves are matched once a group.
+    """
+    rewritten = F.regexp_replace(text, pattern, _MARK + _MARK.join(f"${i}" for i in range(1, groups + 1)) + _MARK)
+    apart = F.when(text.rlike(pattern), F.array(F.lit(""), *(F.regexp_extract(text, pattern, i) for i in range(1, groups + 1)))).otherwise(F.array(F.lit("")))
+    return F.when(text.contains(_MARK), apart).otherwise(F.split(rewritten, _MARK, -1))
+
+
 def match_bytes(raw: Column, pattern: str) -> Column:
     """Unanchored match of a byte pattern ``(?-u)…`` over the undecoded bytes, batch by batch."""
     compiled = re.compile(pattern.replace("(?-u)", "").encode("latin-1"))

@@ -8,7 +8,8 @@ through ``register_format``.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
+from copy import copy
 from dataclasses import dataclass
 from functools import reduce
 
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 
 from logweave.functions import edn, exact_json
 from logweave.functions.record import DEBUG, ERROR, FATAL, INFO, UNKNOWN, WARN, padded_micros, rfc3339_micros, severity_name, severity_of
-from logweave.functions.regex import Translated, checked
+from logweave.functions.regex import Translated, all_groups, checked
 
 BLANKS = " \t\n\f\r"
 #: Syslog and journal priorities 0 to 7. Fixed values.
@@ -56,10 +57,22 @@ class LineFormat:
     def __init__(self, spec: SourceSpec):
         self.spec = spec
         self.raw = F.col("raw")
-
-    def prepare(self, lines: DataFrame) -> DataFrame:
-        """Add what ``parse`` uses more than once, so that it is computed once a line."""
-        return lines
+        #: Fields that ``line`` holds besides time and level, where it is the column of ``held``.
+        self.keys: tuple[str, ...] = ()
+        self.line = self.read()
+
+    def read(self, keys: Sequence[str] = ()) -> Column | None:
+        """What one reading of a line gives to ``parse`` and ``project`` (of ``keys``); None if they read the line itself."""
+        return None
+
+    def held(self, lines: DataFrame, keys: Sequence[str] = ()) -> tuple[DataFrame, LineFormat]:
+        """``lines`` with ``read`` as column ``__line``, computed once a line, and the format that takes it from there."""
+        line = self.read(keys)
+        if line is None:
+            return lines, self
+        made = copy(self)
+        made.line, made.keys = F.col("__line"), tuple(keys)
+        return lines.withColumn("__line", line), made
 
     def parse(self) -> Parsed:
         raise NotImplementedError
@@ -104,14 +117,13 @@ def _priority(code: Column) -> Column:
 class Ndjson(LineFormat):
     """A JSON object a line. ``exact`` keeps the source text of values; otherwise the JVM's JSON functions are used."""
 
-    def prepare(self, lines: DataFrame) -> DataFrame:
-        """One parse a line gives the time, the level and whether the line is an object."""
+    def read(self, keys: Sequence[str] = ()) -> Column:
         if self.spec.exact:
-            return lines.withColumn("__json", exact_json.parse_json(self.raw, self.spec.time_field, self.spec.level_field))
+            return exact_json.parse_json(self.raw, self.spec.time_field, self.spec.level_field, keys)
         quoted = lambda name: "`" + name.replace("`", "``") + "`"
         fields = dict.fromkeys((self.spec.time_field, self.spec.level_field))
         shape = ", ".join([*(f"{quoted(f)} string" for f in fields), "`__bad` string"])
-        return lines.withColumn("__json", F.from_json(F.when(self._shaped, self.raw), shape, {"columnNameOfCorruptRecord": "__bad", "mode": "PERMISSIVE"}))
+        return F.from_json(F.when(self._shaped, self.raw), shape, {"columnNameOfCorruptRecord": "__bad", "mode": "PERMISSIVE"})
 
     @property
     def _shaped(self) -> Column:
@@ -119,7 +131,7 @@ class Ndjson(LineFormat):
         return F.ltrim(self.raw, blank).startswith("{") & F.rtrim(self.raw, blank).endswith("}")
 
     def parse(self) -> Parsed:
-        got = F.col("__json")
+        got = self.line
         if self.spec.exact:
             return Parsed(got["ts_micros"], got["severity"], got["bad_ts"], got["bad_line"])
         whole = got.isNotNull() & got["__bad"].isNull()
@@ -133,6 +145,8 @@ class Ndjson(LineFormat):
         return F.get_json_object(self.raw, _json_path(key))
 
     def project(self, key: str) -> Column:
+        if self.spec.exact and key in self.keys:
+            return self.line["texts"][self.keys.index(key)]
         if self.spec.exact or "'" in key:
             return exact_json.project_json(self.raw, key)
         found = self._get(key)
@@ -145,8 +159,11 @@ class Logfmt(LineFormat):
 
     TOKEN = r'(?s)[^= \t]+(?:=(?:"(?:[^"\\]|\\.|\\$)*(?:"|$)|[^ \t]*))?'
 
+    def read(self, keys: Sequence[str] = ()) -> Column:
+        return F.regexp_extract_all(self.raw, F.lit(self.TOKEN), F.lit(0))
+
     def _values(self, key: str) -> Column:
-        tokens = F.filter(F.regexp_extract_all(self.raw, F.lit(self.TOKEN), F.lit(0)), lambda t: (t == key) | t.startswith(f"{key}="))
+        tokens = F.filter(self.line, lambda t: (t == key) | t.startswith(f"{key}="))
         bare = F.transform(tokens, lambda t: F.substring(t, F.lit(len(key) + 2), F.length(t)))
         return F.transform(bare, lambda v: F.when(v.startswith('"'), F.regexp_replace(F.regexp_replace(v, r'(?s)^"((?:[^"\\]|\\.|\\$)*)"?$', "$1"), r'\\(["\\])', "$1")).otherwise(v))
 
@@ -167,15 +184,14 @@ class Logfmt(LineFormat):
 class Edn(LineFormat):
     """EDN maps; namespaces of keys do not count, tags are seen through, nested values have no text."""
 
-    def prepare(self, lines: DataFrame) -> DataFrame:
-        return lines.withColumn("__edn", edn.parse_edn(self.raw, self.spec.time_field, self.spec.level_field))
+    def read(self, keys: Sequence[str] = ()) -> Column:
+        return edn.parse_edn(self.raw, self.spec.time_field, self.spec.level_field, keys)
 
     def parse(self) -> Parsed:
-        got = F.col("__edn")
-        return Parsed(got["ts_micros"], got["severity"], got["bad_ts"], got["bad_line"])
+        return Parsed(self.line["ts_micros"], self.line["severity"], self.line["bad_ts"], self.line["bad_line"])
 
     def project(self, key: str) -> Column:
-        return edn.project_edn(self.raw, key)
+        return self.line["texts"][self.keys.index(key)] if key in self.keys else edn.project_edn(self.raw, key)
 
     def continues(self) -> Column:
         return self.raw.rlike(r"^[ \t]")
@@ -190,8 +206,11 @@ def _spaced_time(text: Column) -> Column:
 class PythonLogging(LineFormat):
     """``time - logger - LEVEL - message``"""
 
+    def read(self, keys: Sequence[str] = ()) -> Column:
+        return F.split(self.raw, " - ", 4)
+
     def _part(self, i: int) -> Column:
-        return F.get(F.split(self.raw, " - ", 4), F.lit(i))
+        return F.get(self.line, F.lit(i))
 
     def parse(self) -> Parsed:
         split, micros = self.raw.contains(" - "), _spaced_time(self._part(0))
@@ -211,18 +230,34 @@ class PythonLogging(LineFormat):
         return (self.raw != "") & ~self.raw.rlike("^[0-9]")
 
 
-class Syslog(LineFormat):
+class Matched(LineFormat):
+    """A format of one anchored pattern: its groups are at their numbers in ``line``, which has a single element if there is no match."""
+
+    HEAD: str
+    GROUPS: int
+
+    def read(self, keys: Sequence[str] = ()) -> Column:
+        return all_groups(self.raw, self.HEAD, self.GROUPS)
+
+    def _group(self, i: int) -> Column:
+        return F.get(self.line, F.lit(i))
+
+    @property
+    def _fits(self) -> Column:
+        return F.size(self.line) > 1
+
+
+class Syslog(Matched):
     """RFC 5424."""
 
     HEAD = r"(?s)^<([0-9]{1,10})>[0-9]+ ([^ ]+) ([^ ]+) ([^ ]+) ([^ ]+) ([^ ]+)(?:$| (?:$|(?:-(?= |$)|((?:\[(?:[^\]\\]|\\.)*\])+)) ?(.*)$))"
     FIELDS = {"host": 3, "app": 4, "procid": 5, "msgid": 6}
 
-    def _group(self, i: int) -> Column:
-        return F.regexp_extract(self.raw, self.HEAD, i)
+    GROUPS = 8
 
     @property
     def _fits(self) -> Column:
-        return self.raw.rlike(self.HEAD) & (self._group(1).try_cast("bigint") < 2**32)
+        return (F.size(self.line) > 1) & (self._group(1).try_cast("bigint") < 2**32)
 
     @property
     def _severity(self) -> Column:
@@ -259,13 +294,12 @@ class Syslog(LineFormat):
 class Delimited(LineFormat):
     """CSV and TSV: fields by header name, or ``_N`` from 1. The header line is a record of its own, untimed."""
 
-    def __init__(self, spec: SourceSpec):
-        super().__init__(spec)
-        self.delimiter = "\t" if spec.format == "tsv" else ","
-
     @property
     def fields(self) -> Column:
-        d = self.delimiter
+        return self.line
+
+    def read(self, keys: Sequence[str] = ()) -> Column:
+        d = "\t" if self.spec.format == "tsv" else ","
         tokens = F.regexp_extract_all(self.raw, F.lit(f'(?s)"(?:[^"]|"")*(?:"|$){d}?|[^{d}"][^{d}]*{d}?|{d}'), F.lit(0))
         value = lambda t: F.when(t.startswith('"'), F.regexp_replace(F.regexp_replace(t, f'(?s)^"((?:[^"]|"")*)(?:"{d}?)?$', "$1"), '""', '"')).otherwise(F.regexp_replace(t, f"{d}$", ""))
         last = F.try_element_at(tokens, F.lit(-1))
@@ -286,15 +320,14 @@ class Delimited(LineFormat):
         return self._named(key)
 
 
-class Access(LineFormat):
+class Access(Matched):
     """Common and combined access logs; the severity follows the status."""
 
     QUOTED = r'"((?:[^"\\]|\\.)*)"'
     HEAD = rf'(?s)^([^ ]+) ([^ ]+) ([^ ]+) \[([^\]]*)\] ?{QUOTED} ?([^ ]++) ?+([^ ]*+) ?+(?:("(?:[^"\\]|\\.)*") ?+(?:("(?:[^"\\]|\\.)*")|(?!"))|(?!"))'
     FIELDS = {"ip": 1, "host": 1, "logname": 2, "user": 3, "status": 6, "bytes": 7}
 
-    def _group(self, i: int) -> Column:
-        return F.regexp_extract(self.raw, self.HEAD, i)
+    GROUPS = 9
 
     @property
     def _request(self) -> Column:
@@ -314,7 +347,7 @@ class Access(LineFormat):
         return F.when(shaped, rfc3339_micros(iso))
 
     def parse(self) -> Parsed:
-        fits, micros = self.raw.rlike(self.HEAD), self._time()
+        fits, micros = self._fits, self._time()
         return Parsed(F.when(fits, micros), F.when(fits, self._severity).otherwise(F.lit(UNKNOWN).cast("tinyint")), fits & micros.isNull(), ~fits)
 
     def project(self, key: str) -> Column:
@@ -334,19 +367,18 @@ class Access(LineFormat):
             out = severity_name(self._severity)
         else:
             return F.lit(None).cast("string")
-        return F.when(self.raw.rlike(self.HEAD), out)
+        return F.when(self._fits, out)
 
 
-class Logback(LineFormat):
+class Logback(Matched):
     """Logback and Log4j 2 with or without a thread."""
 
     HEAD = r"(?s)^(.{4}-.{2}-.{2} .{8}(?:[.,][0-9]*)?) ([A-Za-z]++) *+(?:\[([^\]]*)\] *|(?!\[))(.*)$"
 
-    def _group(self, i: int) -> Column:
-        return F.regexp_extract(self.raw, self.HEAD, i)
+    GROUPS = 4
 
     def parse(self) -> Parsed:
-        fits, micros = self.raw.rlike(self.HEAD), _spaced_time(self._group(1))
+        fits, micros = self._fits, _spaced_time(self._group(1))
         return Parsed(F.when(fits, micros), F.when(fits, severity_of(self._group(2))).otherwise(F.lit(UNKNOWN).cast("tinyint")), fits & micros.isNull(), ~fits)
 
     def project(self, key: str) -> Column:
@@ -360,7 +392,7 @@ class Logback(LineFormat):
             out = F.nullif(self._group({"ts": 1, "level": 2, "thread": 3}[key]), F.lit(""))
         else:
             return F.lit(None).cast("string")
-        return F.when(self.raw.rlike(self.HEAD), out)
+        return F.when(self._fits, out)
 
     def continues(self) -> Column:
         return (self.raw != "") & ~self.raw.rlike("^[0-9]")
@@ -371,8 +403,8 @@ class Journalctl(Ndjson):
 
     FIELDS = {"msg": "MESSAGE", "host": "_HOSTNAME", "unit": "_SYSTEMD_UNIT", "ident": "SYSLOG_IDENTIFIER"}
 
-    def prepare(self, lines: DataFrame) -> DataFrame:
-        return lines
+    def read(self, keys: Sequence[str] = ()) -> None:
+        return None
 
     @property
     def _severity(self) -> Column:
@@ -394,18 +426,20 @@ class Pattern(LineFormat):
     """A pattern with named groups; ``ts`` and ``level`` are the time and the level unless renamed."""
 
     def __init__(self, spec: SourceSpec):
-        super().__init__(spec)
         if not spec.pattern:
             raise ValueError("--format=regex needs --pattern")
         self.made: Translated = checked(spec.pattern)
+        super().__init__(spec)
+
+    def read(self, keys: Sequence[str] = ()) -> Column:
+        """The groups of the first match anywhere in the line: its rest on both sides is matched along."""
+        return all_groups(self.raw, rf"(?s)\A(?:.*?)(?-s:{self.made.pattern})(?:.*)\z", self.made.count)
 
     def _group(self, name: str) -> Column:
-        if name not in self.made.groups:
-            return F.lit(None).cast("string")
-        return F.when(self.raw.rlike(self.made.pattern), F.regexp_extract(self.raw, self.made.pattern, self.made.groups[name]))
+        return F.get(self.line, F.lit(self.made.groups[name])) if name in self.made.groups else F.lit(None).cast("string")
 
     def parse(self) -> Parsed:
-        fits, stamp = self.raw.rlike(self.made.pattern), self._group(self.spec.time_field)
+        fits, stamp = F.size(self.line) > 1, self._group(self.spec.time_field)
         micros = padded_micros(stamp)
         return Parsed(micros, severity_of(self._group(self.spec.level_field)), fits & stamp.isNotNull() & micros.isNull(), ~fits)
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logweave.operators.formats import SourceSpec
@@ -13,14 +14,28 @@ from logweave.operators.order import fold_lines
 COLUMNS = ["source_id", "line_id", "ts_micros", "severity", "raw", "bad_ts", "bad_line", "is_header"]
 
 
-def parse_lines(lines: DataFrame, spec: SourceSpec, fold: bool = False) -> DataFrame:
-    """Records (numbered seq in their source) of the lines (source_id, seq, raw) of one format."""
+def parse_lines(lines: DataFrame, spec: SourceSpec, fold: bool = False, fields: Mapping[str, str] | None = None) -> DataFrame:
+    """Records (numbered seq in their source) of the lines (source_id, seq, raw) of one format.
+
+    ``fields`` (column -> field) adds fields that the same reading of a line gives.
+    """
     made = spec.line_format()
     if fold and made.folds:
         lines = fold_lines(lines, made.continues())
-    lines, p = made.prepare(lines), made.parse()
+    wanted = fields or {}
+    lines, made = made.held(lines, tuple(dict.fromkeys(wanted.values())))
+    p = made.parse()
     header = F.col("seq") == 0 if spec.header else F.lit(False)
-    return lines.select("source_id", "seq", p.ts_micros.alias("ts_micros"), p.severity.alias("severity"), "raw", F.coalesce(p.bad_ts, F.lit(False)).alias("bad_ts"), F.coalesce(p.bad_line, F.lit(False)).alias("bad_line"), header.alias("is_header"))
+    return lines.select(
+        "source_id", "seq", p.ts_micros.alias("ts_micros"), p.severity.alias("severity"), "raw", F.coalesce(p.bad_ts, F.lit(False)).alias("bad_ts"),
+        F.coalesce(p.bad_line, F.lit(False)).alias("bad_line"), header.alias("is_header"), *(made.project(k).alias(c) for c, k in wanted.items()),
+    )
+
+
+def with_fields(records: DataFrame, spec: SourceSpec, fields: Mapping[str, str]) -> DataFrame:
+    """``records`` of one format with fields (column -> field), from one reading of a line for all of them."""
+    held, made = spec.line_format().held(records, tuple(dict.fromkeys(fields.values())))
+    return held.select(*(F.col(c) for c in records.columns if c not in fields), *(made.project(k).alias(c) for c, k in fields.items()))
 
 
 def parse_status(records: DataFrame) -> DataFrame:
@@ -31,7 +46,3 @@ def parse_status(records: DataFrame) -> DataFrame:
 def union_sources(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
-
-def with_field(records: DataFrame, name: str, value: Column) -> DataFrame:
-    """Project a field once, below the filters that use it."""
-    return records.withColumn(name, value)

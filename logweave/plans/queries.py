@@ -237,9 +237,9 @@ _CODES = {"access": "CASE severity WHEN 5 THEN 5 WHEN 4 THEN 4 WHEN 3 THEN 3 WHE
 
 def _round_trip(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
     spec, raw, fields = _format_lines()[name]
-    parsed = records.parse_lines(lines_of(_events(spark, sf_dir), raw), spec)
-    made = spec.line_format()
-    return parsed.select(F.col("seq").alias("line_id"), "ts_micros", F.col("severity").cast("int").alias("severity"), "bad_line", *(made.project(k).alias("f_" + k.replace(".", "_")) for k in fields))
+    named = {"f_" + k.replace(".", "_"): k for k in fields}
+    parsed = records.parse_lines(lines_of(_events(spark, sf_dir), raw), spec, fields=named)
+    return parsed.select(F.col("seq").alias("line_id"), "ts_micros", F.col("severity").cast("int").alias("severity"), "bad_line", *named)
 
 
 #: The fields of ``_format_lines``, for the SQL (no session is needed here).
@@ -353,13 +353,9 @@ def save_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     import uuid
 
     from logweave.sources import files, sinks
+    from logweave.sources.shared import shared_folder
 
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        import tempfile
-
-        base = tempfile.mkdtemp(prefix="logweave-")
-    path = f"{base}/saved-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/saved-{uuid.uuid4().hex}"
     sinks.save_view(_levels(ndjson_records(spark, sf_dir)), path)
     back = records.parse_lines(files.text_lines(spark, path), SourceSpec())
     return back.select("ts_micros", F.col("severity").cast("int").alias("severity"), project("user").alias("user"))

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import json
 import sys
+import uuid
 import zlib
 from collections.abc import Iterable, Iterator
+from itertools import islice
 from pathlib import Path
 
 import pyarrow as pa
@@ -14,10 +16,13 @@ from pyspark.sql import functions as F
 
 from logweave.operators.detect import detect_format, looks_like_array
 from logweave.operators.order import numbered_lines
+from logweave.sources.shared import shared_folder
 
 PROBE_BYTES = 16 * 1024
 PROBE_LINES = 64
 ARRAY_BYTES = 64 << 20
+#: Lines of standard input that the driver holds at a time.
+SPOOL_LINES = 200_000
 GZIP, ZSTD = b"\x1f\x8b", b"\x28\xb5\x2f\xfd"
 SUFFIXES = {"gzip": ".gz", "zstd": ".zst"}
 
@@ -132,7 +137,7 @@ def array_lines(spark: SparkSession, path: str, source_id: int = 0, limit: int =
 
     def flatten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for content in b.column(0):
+            for name, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 try:
                     value = json.loads(content.as_py())
                 except ValueError as e:
@@ -140,24 +145,41 @@ def array_lines(spark: SparkSession, path: str, source_id: int = 0, limit: int =
                 if not isinstance(value, list):
                     raise ValueError("top-level value is not an array")
                 rows = [json.dumps(x, sort_keys=True, ensure_ascii=False, separators=(",", ":")) for x in value if isinstance(x, dict)]
-                yield pa.RecordBatch.from_arrays([pa.array(range(len(rows)), pa.int64()), pa.array(rows, pa.string())], ["seq", "raw"])
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(rows), pa.string()), pa.array([0] * len(rows), pa.int64()), pa.array(rows, pa.string())], ["_path", "_block", "raw"])
 
     files = spark.read.format("binaryFile").load(path)
     if any(r["length"] > limit for r in files.select("length").collect()):
         raise ValueError(f"JSON-array file is over {limit >> 20} MB; split it into one object a line first")
-    return files.select("content").mapInArrow(flatten, "seq long, raw string").select(F.lit(source_id).alias("source_id"), "seq", "raw")
+    made = files.select("path", "content").mapInArrow(flatten, "_path string, _block long, raw string")
+    return numbered_lines(made).select(F.lit(source_id).alias("source_id"), "seq", "raw")
+
+
+def _kept(lines: Iterable[str]) -> Iterator[str]:
+    return (x for x in (y.removesuffix("\n").removesuffix("\r") for y in lines) if x)
 
 
 def given_lines(spark: SparkSession, lines: Iterable[str], source_id: int = 0) -> DataFrame:
-    """Lines in memory, or from standard input."""
-    kept = [x for x in (y.removesuffix("\n").removesuffix("\r") for y in lines) if x]
-    return spark.createDataFrame([(source_id, i, x) for i, x in enumerate(kept)], "source_id int, seq long, raw string")
+    """Lines in memory."""
+    return spark.createDataFrame([(source_id, i, x) for i, x in enumerate(_kept(lines))], "source_id int, seq long, raw string")
+
+
+def spooled_lines(spark: SparkSession, lines: Iterable[str], source_id: int = 0, piece: int = SPOOL_LINES) -> DataFrame:
+    """Lines of a stream that is read once, such as standard input: the driver holds ``piece`` lines at a time and writes them to the shared folder."""
+    kept = enumerate(_kept(lines))
+    held = list(islice(kept, piece))
+    if len(held) < piece:
+        return given_lines(spark, (x for _, x in held), source_id)
+    path = f"{shared_folder(spark)}/stdin-{uuid.uuid4().hex}"
+    while held:
+        spark.createDataFrame([(source_id, i, x) for i, x in held], "source_id int, seq long, raw string").write.mode("append").parquet(path)
+        held = list(islice(kept, piece))
+    return spark.read.parquet(path)
 
 
 def open_lines(spark: SparkSession, path: str, source_id: int = 0, keep_cr: bool = False, array_limit: int = ARRAY_BYTES) -> tuple[DataFrame, str]:
     """Numbered lines of any input, and how it was read: plain, compressed, array or stdin."""
     if path == "-":
-        return given_lines(spark, sys.stdin, source_id), "stdin"
+        return spooled_lines(spark, sys.stdin, source_id), "stdin"
     head = head_of(spark, path, 64)
     kind = compression_of(head)
     if kind:

@@ -5,9 +5,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from logweave.operators.aggregates import COUNTERS
@@ -18,6 +18,7 @@ TICK = "500 milliseconds"
 
 def append_records(stream: DataFrame, path: str, checkpoint: str, tick: str | None = TICK) -> StreamingQuery:
     """Append to a Parquet table, exactly once a batch; ``tick`` None takes what is there and stops."""
+    _watch(stream.sparkSession)
     writer = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append")
     return (writer.trigger(processingTime=tick) if tick else writer.trigger(availableNow=True)).start()
 
@@ -28,9 +29,41 @@ def live_histogram(stream: DataFrame, width: str = "1 minute", late: str = "10 m
     return timed.groupBy(F.window("ts", width)).agg(F.count(F.lit(1)).alias("count"), *(F.count_if(F.col("severity") == k).alias(c) for k, c in enumerate(COUNTERS)))
 
 
+class _Counter(StreamingQueryListener):
+    """Rows of every batch of every query of a session, as the batches end."""
+
+    def __init__(self) -> None:
+        self.rows: dict[str, dict[int, int]] = {}
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        self.rows.setdefault(str(p.runId), {})[p.batchId] = p.numInputRows
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+
+_COUNTERS: dict[str, _Counter] = {}
+
+
+def _watch(spark: SparkSession) -> None:
+    if spark.sparkContext.applicationId not in _COUNTERS:
+        spark.streams.addListener(_COUNTERS.setdefault(spark.sparkContext.applicationId, _Counter()))
+
+
 def progress(query: StreamingQuery) -> int:
-    """Rows ingested so far."""
-    return sum(p["numInputRows"] for p in query.recentProgress)
+    """Rows that a query of ``append_records`` has ingested so far.
+
+    Spark itself keeps the last batches only, so a listener counts those before; the two overlap by batch number.
+    """
+    rows = dict(next((c.rows[str(query.runId)] for c in _COUNTERS.values() if str(query.runId) in c.rows), {}))
+    return sum((rows | {p["batchId"]: p["numInputRows"] for p in query.recentProgress}).values())
 
 
 def fold_stream(lines: DataFrame, spec: SourceSpec, timeout_ms: int = 1000) -> DataFrame:
@@ -46,17 +79,19 @@ def fold_stream(lines: DataFrame, spec: SourceSpec, timeout_ms: int = 1000) -> D
             state.remove()
             yield pd.DataFrame({"source_id": [key[0]], "seq": [seq], "raw": [raw]})
             return
-        seq, raw = state.get if state.exists else (None, None)
-        out = []
-        for row in pd.concat(batches).sort_values("seq").itertuples():
-            if row.continues and raw is not None:
-                raw += "\n" + row.raw
-            else:
-                if raw is not None:
-                    out.append((key[0], seq, raw))
-                seq, raw = row.seq, row.raw
-        state.update((seq, raw))
+        rows = pd.concat(batches).sort_values("seq")
+        numbers, texts = rows["seq"].to_numpy(), rows["raw"].tolist()
+        if state.exists:
+            seq, raw = state.get
+            numbers, texts = [seq, *numbers], [raw, *texts]
+            heads = [True, *~rows["continues"].to_numpy(bool)]
+        else:
+            heads = [True, *~rows["continues"].to_numpy(bool)[1:]]
+        starts = [i for i, head in enumerate(heads) if head]
+        joined = ["\n".join(texts[a:b]) for a, b in zip(starts, [*starts[1:], len(texts)], strict=True)]
+        state.update((int(numbers[starts[-1]]), joined[-1]))
         state.setTimeoutDuration(timeout_ms)
-        yield pd.DataFrame(out, columns=["source_id", "seq", "raw"]).astype({"source_id": "int32", "seq": "int64", "raw": "object"})
+        closed = pd.DataFrame({"source_id": key[0], "seq": [numbers[i] for i in starts[:-1]], "raw": joined[:-1]})
+        yield closed.astype({"source_id": "int32", "seq": "int64", "raw": "object"})
 
     return marked.groupBy("source_id").applyInPandasWithState(fold, "source_id int, seq long, raw string", "seq long, raw string", "append", GroupStateTimeout.ProcessingTimeTimeout)
