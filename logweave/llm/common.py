@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import math
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 
@@ -12,19 +12,16 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from logweave.sources.shared import shared_folder
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not named:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="logweave-"))
-        named = spark.sparkContext.getCheckpointDir()
-    return named.rstrip("/")
+
+#: Rows of one cell of a ranking, about.
+CELL_ROWS = 1 << 18
 
 
 def write_table(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """Write ``df`` as Parquet in the shared folder and read it back: later steps survive lost executors."""
-    path = f"{scratch_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
@@ -41,21 +38,23 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(True))
 
 
-def rank_within(df: DataFrame, keys: Sequence[str], order: Sequence[Column], spread: Column, out: str, digits: int = 2) -> DataFrame:
+def rank_within(df: DataFrame, keys: Sequence[str], order: Sequence[Column], spread: Column, out: str, rows: int) -> DataFrame:
     """Add ``out``: 0-based rank of each row among the rows of its key, ordered by ``spread`` then ``order``.
 
     ``spread`` is a hex digest. Rows are numbered inside (key, first digits of the digest) and
     the sizes of the earlier digest groups are added, so a key with a third of all rows is
-    numbered by many tasks; the table of sizes has at most 16 ** digits rows a key.
+    numbered by many tasks. ``rows`` (about how many rows there are) sets the number of digits, so that a
+    cell holds about ``CELL_ROWS`` rows at most; ranks do not depend on it.
     """
+    digits = max(2, math.ceil(math.log(max(rows, 1) / CELL_ROWS, 16)))
     cell, local, base = f"__{out}_cell", f"__{out}_local", f"__{out}_base"
-    rows = df.withColumn(f"__{out}_h", spread).withColumn(cell, F.substring(f"__{out}_h", 1, digits))
+    placed = df.withColumn(f"__{out}_h", spread).withColumn(cell, F.substring(f"__{out}_h", 1, digits))
     group = [*keys, cell]
-    sizes = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("__n"))
+    sizes = placed.groupBy(*group).agg(F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy(*keys).orderBy(cell).rowsBetween(Window.unboundedPreceding, -1)
     bases = sizes.select(*(F.col(k).alias(f"__b_{k}") for k in group), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias(base))
     w = Window.partitionBy(*group).orderBy(f"__{out}_h", *order)
-    numbered = rows.withColumn(local, F.row_number().over(w) - 1)
+    numbered = placed.withColumn(local, F.row_number().over(w) - 1)
     on = [F.col(k).eqNullSafe(F.col(f"__b_{k}")) for k in group]
     joined = numbered.join(bases, on, "inner")
     return joined.withColumn(out, (F.col(base) + F.col(local)).cast("long")).drop(f"__{out}_h", cell, local, base, *(f"__b_{k}" for k in group))

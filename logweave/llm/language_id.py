@@ -30,10 +30,9 @@ from logweave.llm.common import held_out, text_batches
 
 ORDER = 4
 DOCS_PER_LANG = 600
-#: Most different (language, context, byte) counts that a model keeps, the most frequent first.
-MAX_GRAMS = 4_000_000
 CHUNK = 1 << 20
-CACHE = 1_500_000
+#: Costs (of a byte in context under a language) that a task keeps before it begins anew.
+CACHE = 6_000_000
 
 
 def byte_keys(parts: list[tuple[bytes, bytes]], order: int = ORDER) -> np.ndarray:
@@ -50,51 +49,47 @@ def byte_keys(parts: list[tuple[bytes, bytes]], order: int = ORDER) -> np.ndarra
     return keys[real]
 
 
-class PPMModel:
-    """Frozen context trees of all languages; counts are matrices with a column a language."""
+def _find(table: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each wanted value is in a sorted table, and whether it is there."""
+    at = np.minimum(np.searchsorted(table, wanted), len(table) - 1)
+    return at, table[at] == wanted
 
-    def __init__(self, langs: list[str], grams: np.ndarray, lang_of: np.ndarray, counts: np.ndarray, order: int = ORDER):
-        self.langs, self.order = langs, order
-        width = len(langs)
+
+class ContextTree:
+    """Frozen counts of one language: for each length of context, its bytes in context, and each context's total and different followers."""
+
+    def __init__(self, grams: np.ndarray, counts: np.ndarray, order: int = ORDER):
+        self.order = order
         self.keys, self.count, self.contexts, self.total, self.distinct = [], [], [], [], []
+        #: What a context leaves of the next shorter one: followers that it does not have itself.
         self.under_total: list[np.ndarray | None] = [None]
         self.under_distinct: list[np.ndarray | None] = [None]
         for j in range(order + 1):
             own, inverse = np.unique(grams & ((1 << 8 * (j + 1)) - 1), return_inverse=True)
-            c = np.zeros((len(own), width))
-            np.add.at(c, (inverse, lang_of), counts)
+            c = np.bincount(inverse, counts, len(own))
             ctx, at = np.unique(own >> 8, return_inverse=True)
-            n, d = np.zeros((len(ctx), width)), np.zeros((len(ctx), width))
-            np.add.at(n, at, c)
-            np.add.at(d, at, c > 0)
+            n, d = np.bincount(at, c, len(ctx)), np.bincount(at, minlength=len(ctx)).astype(float)
             if j:
                 lower = np.searchsorted(self.keys[j - 1], own & ((1 << 8 * j) - 1))
-                gone = np.zeros((len(ctx), width))
-                np.add.at(gone, at, self.count[j - 1][lower] * (c > 0))
+                gone = np.bincount(at, self.count[j - 1][lower], len(ctx))
                 parent = np.searchsorted(self.contexts[j - 1], ctx & ((1 << 8 * (j - 1)) - 1))
                 self.under_total.append(self.total[j - 1][parent] - gone)
                 self.under_distinct.append(self.distinct[j - 1][parent] - d)
             for kept, new in ((self.keys, own), (self.count, c), (self.contexts, ctx), (self.total, n), (self.distinct, d)):
                 kept.append(new)
 
-    @staticmethod
-    def _find(table: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = np.minimum(np.searchsorted(table, wanted), len(table) - 1)
-        return at, table[at] == wanted
-
     def cost(self, keys: np.ndarray) -> np.ndarray:
-        """Bits that each packed byte takes under each language."""
-        bits = np.zeros((len(keys), len(self.langs)))
-        still = np.ones(bits.shape, bool)
-        above, above_at = np.zeros(bits.shape, bool), None
+        """Bits that each packed byte takes."""
+        bits = np.zeros(len(keys))
+        still = np.ones(len(keys), bool)
+        above, above_at = None, None
         for j in range(self.order, -1, -1):
             gram = keys & ((1 << 8 * (j + 1)) - 1)
-            at, there = self._find(self.contexts[j], gram >> 8)
-            at_gram, has = self._find(self.keys[j], gram)
-            seen = there[:, None] & (self.distinct[j][at] > 0)
-            count = np.where(has[:, None], self.count[j][at_gram], 0)
+            at, seen = _find(self.contexts[j], gram >> 8)
+            at_gram, has = _find(self.keys[j], gram)
+            count = np.where(has, self.count[j][at_gram], 0)
             n, d = self.total[j][at], self.distinct[j][at]
-            if above_at is not None:
+            if above is not None:
                 n = np.where(above, self.under_total[j + 1][above_at], n)
                 d = np.where(above, self.under_distinct[j + 1][above_at], d)
             live = still & seen & (n + d > 0)
@@ -103,8 +98,19 @@ class PPMModel:
             bits -= np.log2(np.where(live, np.maximum(part, 1e-300), 1))
             still &= ~hit
             above, above_at = seen, at
-        known = self.distinct[0][0] if len(self.distinct[0]) else np.zeros(len(self.langs))
-        return bits + np.where(still, np.log2(np.maximum(256 - known, 1)), 0)
+        return bits + np.where(still, np.log2(max(256 - self.distinct[0][0], 1)), 0)
+
+
+class PPMModel:
+    """The context trees of all languages, each as large as its own counts, however many languages there are."""
+
+    def __init__(self, langs: list[str], grams: np.ndarray, lang_of: np.ndarray, counts: np.ndarray, order: int = ORDER):
+        self.langs, self.order = langs, order
+        self.trees = [ContextTree(grams[lang_of == i], counts[lang_of == i], order) for i in range(len(langs))]
+
+    def cost(self, keys: np.ndarray) -> np.ndarray:
+        """Bits that each packed byte takes under each language."""
+        return np.stack([t.cost(keys) for t in self.trees], 1)
 
     def code_lengths(self, texts: list[bytes]) -> np.ndarray:
         """Total bits of each text under each language, by bounded chunks; costs of frequent bytes-in-context are kept."""
@@ -127,10 +133,10 @@ class PPMModel:
     def _add(self, parts: list[tuple[bytes, bytes]], owners: list[int], out: np.ndarray) -> None:
         keys, inverse = np.unique(byte_keys(parts, self.order), return_inverse=True)
         known = getattr(self, "_known", None)
-        if known is None or len(known[0]) > CACHE:
+        if known is None or known[1].size > CACHE:
             known = self._known = (np.zeros(0, np.int64), np.zeros((0, len(self.langs)), np.float32))
         cost = np.empty((len(keys), len(self.langs)), np.float32)
-        at, there = self._find(known[0], keys) if len(known[0]) else (None, np.zeros(len(keys), bool))
+        at, there = _find(known[0], keys) if len(known[0]) else (None, np.zeros(len(keys), bool))
         if at is not None:
             cost[there] = known[1][at[there]]
         if not there.all():
@@ -143,13 +149,15 @@ class PPMModel:
         np.add.at(out, owners, np.add.reduceat(cost[inverse], starts, axis=0, dtype=np.float64))
 
 
-def train(docs: DataFrame, order: int = ORDER, docs_per_lang: int = DOCS_PER_LANG, max_grams: int = MAX_GRAMS) -> PPMModel | None:
+def train(docs: DataFrame, order: int = ORDER, docs_per_lang: int = DOCS_PER_LANG) -> PPMModel | None:
     """Learn from the rows that are not held out; the counting runs on the executors and only counts come back."""
     rows = docs.select("doc_id", "text", "lang").where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & (F.length("text") > 0))
     ids = rows.withColumn("h", F.conv(F.substring(F.md5(F.col("doc_id").cast("string").cast("binary")), 1, 12), 16, 10).cast("long"))
     sizes = ids.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    # About 1.3 times the bound passes this threshold in a language; the exact bound is cut from those few rows.
-    near = ids.drop("text").join(F.broadcast(sizes), "lang").where(F.col("h") < (2.0**48) * 1.3 * docs_per_lang / F.col("n") + (F.col("n") <= 4 * docs_per_lang).cast("long") * 2**48)
+    # The smallest digests are wanted. Rows below this share of all digests are a few more than wanted (by six standard
+    # deviations, and all of a small language), so no task ranks all rows of a language.
+    share = (docs_per_lang + 6 * docs_per_lang**0.5 + 20) / F.col("n")
+    near = ids.drop("text").join(F.broadcast(sizes), "lang").where(F.col("h") < 2.0**48 * share)
     w = Window.partitionBy("lang").orderBy("h", "doc_id")
     chosen = near.withColumn("k", F.row_number().over(w)).where(F.col("k") <= docs_per_lang).select("doc_id", "lang").distinct()
     sample = rows.join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi").select("lang", "text")
@@ -164,7 +172,7 @@ def train(docs: DataFrame, order: int = ORDER, docs_per_lang: int = DOCS_PER_LAN
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys)), pa.array(keys), pa.array(n)], ["lang", "gram", "n"])
 
     counted = sample.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    got = counted.orderBy(F.desc("n"), "lang", "gram").limit(max_grams).toArrow()
+    got = counted.toArrow()
     if not got.num_rows:
         return None
     langs = sorted(set(got["lang"].to_pylist()))

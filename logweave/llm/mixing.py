@@ -73,7 +73,7 @@ def mix(docs: DataFrame, shares: Mapping[str, int], default_share: int = 1) -> D
     plan = _schedules(frames)
     starts = [r["first"] for r in frames.select("first").orderBy("first").collect()] or [0]
     digest = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
-    numbered = rank_within(rows, ["source_name"], [F.col("doc_id")], digest, "block").withColumn("__share", share.cast("long"))
+    numbered = rank_within(rows, ["source_name"], [F.col("doc_id")], digest, "block", rows.count()).withColumn("__share", share.cast("long"))
     placed = numbered.withColumn("frame", F.expr("block div __share")).withColumn("__r", (F.col("block") % F.col("__share")).cast("int"))
     placed = placed.withColumn("__first", F.array_max(F.filter(F.array(*map(F.lit, starts)), lambda x: x <= F.col("frame"))))
     slot = (F.col("base") + (F.col("frame") - F.col("first")) * F.col("length")).cast("long")

@@ -27,9 +27,10 @@ Defined cases: null text counts as empty, an empty document is its end id; repea
 packed each; an empty table gives an empty result; very long texts are tokenised whole, one
 at a time; other columns are not read.
 
-Ids: ``tiktoken`` over the same vocabulary and pattern gives the ids that ``tokenizers`` gives for
-the byte-level file (tested), at about five times the speed; the end-of-text string in a text
-is its special id in both.
+Ids: those of ``tokenizers`` for the byte-level file. ``tiktoken`` over the same vocabulary and pattern gives the same ids
+(tested) about four times as fast and is asked first; a text that it cannot read (its pattern matcher gives up
+on a run of about a million blanks) goes to ``tokenizers`` itself. The end-of-text string in a
+text is its special id in both.
 """
 
 from __future__ import annotations
@@ -37,6 +38,7 @@ from __future__ import annotations
 import base64
 import zlib
 from collections.abc import Callable, Iterator, Mapping
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -49,42 +51,68 @@ CAPACITY = 1024
 #: Parts of the capacity above which a length may count as large.
 CUTOFFS = (2, 3, 4)
 GROUPS = 64
-#: Items that the choice between the cutoffs is simulated with, at most.
-TRIAL_ITEMS = 20_000
 #: Steps that the plan is dealt over when rows have an order.
 STEPS = 64
 END_ID = 2
 SPECIAL = {"<|endoftext|>": 50256}
 
 
-def rank_encoder(path: str, pattern: str):
-    """A tokenizer from a file of base64 byte strings and ranks."""
-    import tiktoken
+class Vocabulary(NamedTuple):
+    """Files of one vocabulary: as ``tokenizers`` reads it, and as base64 byte strings and ranks with the pattern that cuts words."""
 
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens=SPECIAL)
+    tokenizer: str
+    ranks: str
+    pattern: str
 
 
-_ENCODERS: dict[tuple[str, str], object] = {}
+class Encoder:
+    """Ids of texts; the two libraries are opened when they are first needed."""
 
+    def __init__(self, vocabulary: Vocabulary):
+        import tiktoken
 
-def pieces(docs: DataFrame, path: str, pattern: str, capacity: int = CAPACITY, end_id: int = END_ID, source: bool = False) -> DataFrame:
+        self.vocabulary, self.whole = vocabulary, None
+        with open(vocabulary.ranks, "rb") as f:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        self.fast = tiktoken.Encoding("packing", pat_str=vocabulary.pattern, mergeable_ranks=ranks, special_tokens=SPECIAL)
+
+    def plain(self, text: str) -> list[int]:
+        """Ids by ``tokenizers``."""
+        if self.whole is None:
+            from tokenizers import Tokenizer
+
+            self.whole = Tokenizer.from_file(self.vocabulary.tokenizer)
+        return self.whole.encode_batch_fast([text], add_special_tokens=False)[0].ids
+
+    def __call__(self, text: str) -> list[int]:
+        try:
+            return self.fast.encode(text, allowed_special="all")
+        except ValueError:  # the matcher's stack is exceeded
+            return self.plain(text)
+
+
+_ENCODERS: dict[Vocabulary, Encoder] = {}
+
+
+def pieces(docs: DataFrame, vocabulary: Vocabulary, capacity: int = CAPACITY, end_id: int = END_ID, source: bool = False) -> DataFrame:
     """doc_id, row, (source,) piece, start, length, ids_crc32 of every piece of every document."""
     also = ["source"] if source else []
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if (path, pattern) not in _ENCODERS:
-            _ENCODERS[path, pattern] = rank_encoder(path, pattern)
-        encode = _ENCODERS[path, pattern].encode
+        if vocabulary not in _ENCODERS:
+            _ENCODERS[vocabulary] = Encoder(vocabulary)
+        encode = _ENCODERS[vocabulary]
         for b in text_batches(batches, 1000):
             rows: list[tuple] = []
             for doc, row, *of, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                ids = np.array([*encode(text or "", allowed_special="all"), end_id], "<u4")
+                ids = np.array([*encode(text or ""), end_id], "<u4")
                 first = len(ids) % capacity or capacity
-                ends = range(first, len(ids) + 1, capacity)
-                rows += [(doc, row, *of, k, e - (first if k == 0 else capacity), first if k == 0 else capacity, zlib.crc32(ids[e - (first if k == 0 else capacity) : e].tobytes())) for k, e in enumerate(ends)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), *(pa.string() for _ in also), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "row", *also, "piece", "start", "length", "ids_crc32"])
+                starts = [0, *range(first, len(ids), capacity)]
+                for k, (a, b) in enumerate(zip(starts, [*starts[1:], len(ids)], strict=True)):
+                    rows.append((doc, row, *of, k, a, b - a, zlib.crc32(ids[a:b].tobytes())))
+            types = (pa.int64(), pa.int64(), *(pa.string() for _ in also), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+            made = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]
+            yield pa.RecordBatch.from_arrays(made, ["doc_id", "row", *also, "piece", "start", "length", "ids_crc32"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), *(F.col(c).cast("string").alias(c) for c in also), "text")
     return rows.mapInArrow(cut, f"doc_id long, row long, {'source string, ' * source}piece int, start long, length long, ids_crc32 long")
@@ -111,7 +139,11 @@ def _best_column(values: np.ndarray, sizes: list[int], capacity: int) -> tuple[f
 
 
 def configurations(sizes: list[int], demand: list[int], capacity: int, rounds: int = 3000) -> list[tuple[list[int], int]]:
-    """(configuration, times) that hold exactly ``demand`` items of ``sizes``: column generation, rounded down, then first-fit decreasing."""
+    """(configuration, times) that hold exactly ``demand`` items of ``sizes``: column generation, rounded down, then first-fit decreasing.
+
+    At most 64 sizes need a few hundred rounds; ``rounds`` ends an exchange of columns that goes in circles. Every basis
+    gives a plan that holds all items, so an early end costs sequences at most.
+    """
     left = np.array(demand)
     chosen: list[tuple[list[int], int]] = []
     if sizes:
@@ -214,24 +246,27 @@ def moves_in_steps(moves: list[tuple[int, int, int, int, int]], sizes: Mapping[i
     return out
 
 
-def expected_sequences(plan: list[tuple[list[int], int]], grouped: list[tuple[int, list[int]]], counts: dict[int, int], small: dict[int, int], capacity: int, items: int = TRIAL_ITEMS) -> float:
-    """About how many sequences a plan needs, from a scaled-down trial of substitution and best fit."""
-    rng = np.random.default_rng(0)
-    total = sum(t * sum(c) for c, t in plan) + sum(small.values())
-    part = min(1.0, items / max(total, 1))
-    drawn = []
-    for i, (_, lengths) in enumerate(grouped):
-        weight = np.array([counts[x] for x in lengths], float)
-        drawn.append(iter(rng.choice(lengths, int(sum(c[i] * (t * part + 1) for c, t in plan)) + 1, p=weight / weight.sum())))
-    rooms: dict[int, int] = {}
-    used = 0
+def expected_sequences(plan: list[tuple[list[int], int]], grouped: list[tuple[int, list[int]]], counts: dict[int, int], small: dict[int, int], capacity: int) -> int:
+    """How many sequences a plan needs if lengths fall to the places of their group at random: on all counts, whatever their size.
+
+    The room of a configuration is distributed as the convolution of its groups' lengths; rooms in expected numbers then take the small lengths.
+    """
+    shares = []
+    for _, lengths in grouped:
+        p = np.zeros(capacity + 1)
+        p[lengths] = [counts[x] for x in lengths]
+        shares.append(p / p.sum())
+    rooms = np.zeros(capacity + 1)
     for column, times in plan:
-        for _ in range(round(times * part)):
-            left = capacity - sum(int(next(drawn[i])) for i, a in enumerate(column) for _ in range(a))
-            rooms[left] = rooms.get(left, 0) + 1
-            used += 1
-    _, new = best_fit(rooms, {k: n for k, v in small.items() if (n := round(v * part))}, capacity)
-    return (used + new) / part
+        filled = np.ones(1)
+        for i, a in enumerate(column):
+            for _ in range(a):
+                filled = np.convolve(filled, shares[i])[: capacity + 1]
+        rooms[capacity - np.arange(len(filled))] += times * filled
+    # Rounded so that running totals stay right.
+    whole = np.diff(np.rint(np.cumsum(rooms)), prepend=0).astype(np.int64)
+    _, new = best_fit({r: int(n) for r, n in enumerate(whole) if n}, small, capacity)
+    return sum(times for _, times in plan) + new
 
 
 def plan_lengths(counts: dict[int, int], capacity: int, groups: int = GROUPS, cutoffs: tuple[int, ...] = CUTOFFS) -> tuple[list[tuple[int, list[int]]], list[tuple[list[int], int]], int]:
@@ -258,7 +293,7 @@ def pack(parts: DataFrame, capacity: int = CAPACITY, groups: int = GROUPS, order
         slot = order(parts.where(F.col("piece") == 0).select("row", "doc_id", "source")).select("row", "slot")
         parts, _ = write_table(parts.drop("source").join(slot, "row"), "slotted")
         slots = parts.agg(F.max("slot")).first()[0] or 0
-    # At most ``capacity`` rows.
+    # At most ``capacity`` rows. A full piece is a sequence by itself: it needs no rank, only a number of its own (below 0).
     counts = {r["length"]: r["n"] for r in parts.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     full = counts.pop(capacity, 0)
     grouped, plan, small_most = plan_lengths(counts, capacity, groups)
@@ -279,11 +314,12 @@ def pack(parts: DataFrame, capacity: int = CAPACITY, groups: int = GROUPS, order
         sequences += times
     large_runs = [np.array(r) for r in runs]
 
-    # A piece's class for ranking: its group (large), its length (small), all full pieces together.
+    # A piece's class for ranking: its group (large) or its length (small).
     kind = F.element_at(F.array(*(F.lit(int(group_of[k]) + 2 * capacity if group_of[k] >= 0 else k) for k in range(1, capacity + 1))), F.col("length").cast("int"))
     digest = scaled(F.col("slot"), slots) if order else F.md5(F.concat_ws(":", "doc_id", "row", "piece").cast("binary"))
     also = ["slot"] if order else []
-    ranked = rank_within(parts.withColumn("kind", kind), ["kind"], [F.col(c) for c in (*also, "doc_id", "row", "piece")], digest, "place")
+    partial = parts.where(F.col("length") < capacity).withColumn("kind", kind)
+    ranked = rank_within(partial, ["kind"], [F.col(c) for c in (*also, "doc_id", "row", "piece")], digest, "place", sum(counts.values()))
     ranked, _ = write_table(ranked, "ranked")
     fields = f"doc_id long, row long, piece int, start long, length long, ids_crc32 long, {'slot long, ' * len(also)}sequence_id long"
     names = ["doc_id", "row", "piece", "start", "length", "ids_crc32", *also, "sequence_id"]
@@ -294,19 +330,18 @@ def pack(parts: DataFrame, capacity: int = CAPACITY, groups: int = GROUPS, order
     def place_large(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             length, rank = b.column(b.schema.get_field_index("length")).to_numpy(), b.column(b.schema.get_field_index("place")).to_numpy()
-            seq = sequences + rank
+            seq = np.zeros(len(rank), np.int64)
             for g in np.unique(group_of[length]):
-                if g >= 0:
-                    own = group_of[length] == g
-                    begin, a, first = large_runs[g].T
-                    at = np.searchsorted(begin, rank[own], side="right") - 1
-                    seq[own] = first[at] + (rank[own] - begin[at]) // a[at]
+                own = group_of[length] == g
+                begin, a, first = large_runs[g].T
+                at = np.searchsorted(begin, rank[own], side="right") - 1
+                seq[own] = first[at] + (rank[own] - begin[at]) // a[at]
             yield pa.RecordBatch.from_arrays([*columns(b), pa.array(seq, pa.int64())], names)
 
     big, _ = write_table(ranked.where(F.col("length") > small_most).mapInArrow(place_large, fields), "large")
-    room = big.where(F.col("length") < capacity).groupBy("sequence_id").agg((F.lit(capacity) - F.sum("length")).alias("room"))
+    room = big.groupBy("sequence_id").agg((F.lit(capacity) - F.sum("length")).alias("room"))
     spread = scaled(F.col("sequence_id"), sequences) if order else F.md5(F.col("sequence_id").cast("string").cast("binary"))
-    room = rank_within(room, ["room"], [F.col("sequence_id")], spread, "place")
+    room = rank_within(room, ["room"], [F.col("sequence_id")], spread, "place", sequences)
     rooms, _ = write_table(room, "rooms")
     # At most ``capacity`` rows again.
     room_counts = {r["room"]: r["n"] for r in rooms.groupBy("room").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -318,7 +353,6 @@ def pack(parts: DataFrame, capacity: int = CAPACITY, groups: int = GROUPS, order
         by_length.setdefault(m[0], []).append(m[1:])
     by_length = {k: np.array(v) for k, v in by_length.items()}
     shared = spark.sparkContext.broadcast(by_length)
-    fresh = sequences + full
 
     def place_small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -334,18 +368,19 @@ def pack(parts: DataFrame, capacity: int = CAPACITY, groups: int = GROUPS, order
     little = ranked.where(F.col("length") <= small_most).mapInArrow(place_small, fields.replace("sequence_id long", "cls long, at long"))
     where = rooms.select(F.col("room"), F.col("place").alias("room_place"), "sequence_id")
     little = little.join(where, (F.col("cls") == F.col("room")) & (F.col("at") == F.col("room_place")), "left")
-    little = little.withColumn("sequence_id", F.when(F.col("cls") < 0, F.lit(fresh) + F.col("at")).otherwise(F.col("sequence_id"))).select(*names)
+    little = little.withColumn("sequence_id", F.when(F.col("cls") < 0, F.lit(sequences) + F.col("at")).otherwise(F.col("sequence_id"))).select(*names)
     w = Window.partitionBy("sequence_id").orderBy(F.desc("length"), "doc_id", "row", "piece").rowsBetween(Window.unboundedPreceding, -1)
-    packed = big.unionByName(little)
+    alone = parts.where(F.col("length") == capacity).withColumn("sequence_id", -1 - F.monotonically_increasing_id()).select(*names)
+    packed = big.unionByName(little).unionByName(alone)
     if order:
         packed, _ = write_table(packed, "packed")
         middle, _ = write_table(packed.groupBy("sequence_id").agg((F.sum(F.col("slot") * F.col("length")) / F.sum("length")).alias("at")), "middle")
-        numbers = rank_within(middle, [], [F.col("at"), F.col("sequence_id")], scaled(F.col("at"), slots), "number").select("sequence_id", "number")
+        numbers = rank_within(middle, [], [F.col("at"), F.col("sequence_id")], scaled(F.col("at"), slots), "number", sequences + new + full).select("sequence_id", "number")
         packed = packed.join(numbers, "sequence_id").withColumn("sequence_id", F.col("number")).select(*names)
     return packed.withColumn("offset", F.coalesce(F.sum("length").over(w), F.lit(0)))
 
 
-def pack_documents(docs: DataFrame, path: str, pattern: str, capacity: int = CAPACITY, order: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def pack_documents(docs: DataFrame, vocabulary: Vocabulary, capacity: int = CAPACITY, order: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Tokenise, cut and pack (by the slots of ``order``): doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece."""
-    out = pack(pieces(docs, path, pattern, capacity, source=order is not None), capacity, order=order)
+    out = pack(pieces(docs, vocabulary, capacity, source=order is not None), capacity, order=order)
     return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

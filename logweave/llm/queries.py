@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,18 +13,18 @@ from logweave.llm import ann, fingerprints, language_id, mixing, near_dedup, pac
 SHARES = {"src0": 8, "src1": 4, "src2": 4, "src3": 2, "src4": 2}
 #: (host, path, verdict)
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
-#: Where the vocabulary file and its pattern come from; another file can be named.
-VOCABULARY = "byte_bpe_50k.tiktoken"
+#: The vocabulary's files.
+TOKENIZER, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def vocabulary() -> tuple[str, str]:
+def vocabulary() -> packing.Vocabulary:
     import public_tokenizers
 
-    return os.environ.get("LOGWEAVE_VOCABULARY") or public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN
+    return packing.Vocabulary(public_tokenizers.path(TOKENIZER), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,7 +45,7 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(table(spark, sf_dir, "documents"), *vocabulary())
+    return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary())
 
 
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,7 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from logweave.llm.common import salted_left_join, scratch_dir, write_table
+from logweave.llm.common import salted_left_join, write_table
+from logweave.sources.shared import shared_folder
 
 SEGMENT = 1 << 20
 LEAST = 100
@@ -218,7 +219,7 @@ def whole_records(chunks: DataFrame) -> DataFrame:
 def archive_round_trip(pages: DataFrame, least: int = LEAST, segment: int = SEGMENT) -> DataFrame:
     """Write the pages as archives in the shared folder, read these back and return a row a record."""
     spark = pages.sparkSession
-    path = f"{scratch_dir(spark)}/warc-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
     write_archives(pages, path, least, segment)
     chunks, _ = write_table(read_chunks(spark, path), "chunks")
     return whole_records(chunks)

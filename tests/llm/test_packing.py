@@ -25,22 +25,29 @@ def check(rows, capacity=1024):
 
 
 def test_same_ids_as_tokenizers():
-    import public_tokenizers
-    from tokenizers import Tokenizer
-
-    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    ours = packing.rank_encoder(*queries.vocabulary())
+    ours = packing.Encoder(queries.vocabulary())
     r = random.Random(2)
     texts = ["", " ", "\n\n  \t x", "a<|endoftext|>b", "it's we'll 12345 ", "é😀 \u200b\u00a0ß" * 20, "a" * 3000, " " * 500 + "x", "\r\n\r\n", "日本語テキスト"] + ["".join(chr(r.choice([32, 10, 39, 65, 97, 48, 233, 0x4E00, 0x1F600, 0x301]) + r.randint(0, 20)) for _ in range(300)) for _ in range(200)]
-    assert [ours.encode(x, allowed_special="all") for x in texts] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+    assert [ours(x) for x in texts] == [ours.plain(x) for x in texts]
+
+
+@pytest.mark.parametrize("text", [" " * 2_000_000, "x" + "\n" * 2_000_000 + "y", "a" * 2_000_000, "words and" + "\t " * 600_000 + "!" * 600_000])
+def test_very_long_runs(text):
+    ours = packing.Encoder(queries.vocabulary())
+    assert ours(text) == ours.plain(text)
+
+
+def test_a_text_of_blanks_is_packed(docs):
+    by_doc, _ = check(packing.pack_documents(docs([(1, " " * 1_100_000, "en", "s"), (2, "short", "en", "s")]), queries.vocabulary()).collect())
+    assert sum(r["length"] for r in by_doc[1]) == len(packing.Encoder(queries.vocabulary()).plain(" " * 1_100_000)) + 1
 
 
 def test_whole_documents_come_back(spark, docs):
-    rows = packing.pack_documents(docs(ODD), *queries.vocabulary()).collect()
+    rows = packing.pack_documents(docs(ODD), queries.vocabulary()).collect()
     by_doc, _ = check(rows)
-    encode = packing.rank_encoder(*queries.vocabulary())
+    encode = packing.Encoder(queries.vocabulary()).plain
     for doc, text, *_ in ODD:
-        ids = np.array([*encode.encode(text or "", allowed_special="all"), 2], "<u4")
+        ids = np.array([*encode(text or ""), 2], "<u4")
         parts = sorted((r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in by_doc[doc])
         copies = sum(x[0] == doc for x in ODD)
         assert len(parts) % copies == 0
@@ -48,7 +55,7 @@ def test_whole_documents_come_back(spark, docs):
         assert [p[0] for p in parts] == list(range(len(parts)))
         assert sum(p[2] for p in parts) == len(ids) and all(p[2] == 1024 for p in parts[1:]) and (len(ids) > 1024 or len(parts) == 1)
         assert all(zlib.crc32(ids[s : s + n].tobytes()) == crc for _, s, n, crc in parts)
-    assert packing.pack_documents(docs([]), *queries.vocabulary()).count() == 0
+    assert packing.pack_documents(docs([]), queries.vocabulary()).count() == 0
 
 
 def test_few_sequences(spark):
