@@ -42,7 +42,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row a piece: where each document's tokens stand in which sequence, the sequences in the order of the slots."""
-    return packing.pack_documents(docs, *queries.vocabulary(), order=lambda rows: mixing.mix(rows, queries.SHARES))
+    return packing.pack_documents(docs, queries.vocabulary(), order=lambda rows: mixing.mix(rows, queries.SHARES))
 
 
 STAGES = [
