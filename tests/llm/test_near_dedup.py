@@ -99,3 +99,26 @@ def test_keep_one_keeps_columns(docs, words):
     out = N.keep_one(d)
     assert out.columns == d.columns
     assert sorted(r["doc_id"] for r in out.collect()) == [1, 4, 5]
+
+
+@pytest.mark.parametrize("block", [512, 3])
+def test_sets_unlike_their_hub_meet_each_other(spark, monkeypatch, block):
+    """Ids 1 to 9 share bands with 0, the smallest; 1 to 4 are alike, so are 5 to 9, none is like 0."""
+    monkeypatch.setattr(N, "BLOCK_SETS", block)
+    r = random.Random(0)
+    kinds = [bytes(r.randrange(256) for _ in range(N.HASHES)) for _ in range(3)]
+    kind = lambda i: 0 if i == 0 else 1 if i < 5 else 2
+    rows = [(i, [7, 8, 1000 + i], bytearray(kinds[kind(i)][:-10] + bytes([i] * 10))) for i in range(10)] + [(20, [9], bytearray(kinds[0])), (21, [9], bytearray(kinds[0]))]
+    links = N.candidate_links(spark.createDataFrame(rows, "doc_id long, bands array<long>, minima binary"), 85)
+    got = {c["node"]: c["component"] for c in N.connected_components(links).collect()}
+    assert got == {**dict.fromkeys(range(1, 5), 1), **dict.fromkeys(range(5, 10), 5), 20: 20, 21: 20}
+
+
+def test_signatures_estimate_similarity(words):
+    r = random.Random(4)
+    for edits in (0, 5, 20, 80):
+        base = " ".join(r.choice(words) for _ in range(600))
+        a, b = N.shingles(base), N.shingles(mutated(words, r, base, edits))
+        true = len(set(a) & set(b)) / len(set(a) | set(b))
+        same = sum(x == y for x, y in zip(N.signature(a)[1], N.signature(b)[1], strict=True)) / N.HASHES
+        assert abs((same - 1 / 256) / (1 - 1 / 256) - true) < 0.12
