@@ -1,7 +1,9 @@
 import numpy as np
 import pytest
 
-from logweave.llm import ann
+from logweave.llm import ann, queries
+from tests import oracle
+from tests.conftest import DATA
 
 
 def exact(x, ids, k, every):
@@ -76,3 +78,43 @@ def test_odd_vectors_ties_and_repeats(spark):
     got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), k=20, every=20).orderBy("query_id", "rank").collect()
     assert [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got] == [(0, 1, 1, 1.0), (0, 2, 2, 1.0), (0, 3, 20, -1.0), (20, 1, 0, -1.0), (20, 2, 1, -1.0), (20, 3, 2, -1.0)]
     assert ann.nearest(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def recall_of(spark, x, ids):
+    got = {}
+    rows = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x, strict=True)], "vec_id long, embedding array<float>")
+    for r in ann.nearest(rows).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    want = exact(x, ids, 20, 20)
+    assert {q: len(v) for q, v in got.items()} == dict.fromkeys(want, 20)
+    return np.mean([len(got[q] & {v for v, _ in want[q]}) / 20 for q in want])
+
+
+@pytest.mark.parametrize("kind", ["clusters", "plain", "lengths"])
+def test_recall_out_of_sample(spark, monkeypatch, kind):
+    """Tables of ten times the sample and more, with lone queries, whose radius the sample cannot know."""
+    monkeypatch.setattr(ann, "SAMPLE", 300)
+    monkeypatch.setattr(ann, "BLOCK", 1000)
+    r = np.random.default_rng(8)
+    n = 4000
+    x = r.normal(size=(n, 32))
+    if kind == "clusters":
+        x = r.normal(size=(25, 32))[r.integers(0, 25, n)] + 0.3 * x
+        x[::200] = r.normal(size=(n // 200, 32))
+    if kind == "lengths":  # inner products, not angles, decide
+        x *= r.lognormal(0, 0.3, (n, 1))
+    found = recall_of(spark, x.astype(np.float32).astype(np.float64), np.arange(n))
+    print(f"recall, {kind}: {found:.3f}")
+    assert found >= 0.9
+
+
+def test_recall_on_the_table(spark, monkeypatch):
+    monkeypatch.setattr(ann, "SAMPLE", 200)
+    con = oracle.connect(f"{DATA}/sf0.1")
+    want = {}
+    for q, v in con.execute(f"SELECT query_id, vec_id FROM ({queries.EXACT_NEAREST_SQL})").fetchall():
+        want.setdefault(q, set()).add(v)
+    got = {}
+    for row in queries.op10_ann(spark, f"{DATA}/sf0.1").collect():
+        got.setdefault(row["query_id"], set()).add(row["vec_id"])
+    assert got.keys() == want.keys() and np.mean([len(got[q] & want[q]) / len(want[q]) for q in want]) >= 0.9
