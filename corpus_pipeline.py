@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from logweave.llm import mixing, near_dedup, packing, quality, queries, secrets
-from logweave.llm.common import write_table
+from logweave.llm.common import drop_table, write_table
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,7 +59,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each result written to the shared folder and read again."""
-    docs = queries.table(spark, sf_dir, "documents")
+    docs, before = queries.table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs, _ = write_table(stage(spark, docs, sf_dir), name)
+        docs, written = write_table(stage(spark, docs, sf_dir), name)
+        if before:
+            drop_table(spark, before)
+        before = written
     return STAGES[-1][1](spark, docs, sf_dir)
