@@ -42,7 +42,7 @@ ROTATIONS = 2
 BLOCK = 16_384
 QUERY_BLOCK = 32_768
 #: Rows that a task is dealt, about; at least one group.
-TASK_ROWS = 50_000
+TASK_ROWS = 16_384
 #: A query's radius in a block grows until it holds this many times k codes.
 SPARE = 10
 ROUNDS = 30
