@@ -1,7 +1,7 @@
 """The eleven line formats: time and severity, fields by name, and which lines continue a record.
 
-Every format is a ``LineFormat``: ``parse`` gives ts_micros (null: untimed), severity, bad_ts (a time is
-there but not readable) and bad_line (the line is not of the format); ``project`` a field's text or
+Every format is a ``LineFormat``: ``parse`` gives ts_micros (null: untimed), severity, timed (the line has a
+time, readable or not) and bad_line (the line is not of the format); ``project`` a field's text or
 null. All are built-in expressions except EDN and the exact JSON mode. User formats join
 through ``register_format``.
 """
@@ -32,7 +32,7 @@ class Parsed:
 
     ts_micros: Column
     severity: Column
-    bad_ts: Column
+    timed: Column
     bad_line: Column
 
 
@@ -137,7 +137,7 @@ class Ndjson(LineFormat):
         whole = got.isNotNull() & got["__bad"].isNull()
         ts = F.when(whole, got.getField(self.spec.time_field))
         micros = rfc3339_micros(ts)
-        return Parsed(micros, severity_of(F.when(whole, got.getField(self.spec.level_field))), ts.isNotNull() & micros.isNull(), ~whole)
+        return Parsed(micros, severity_of(F.when(whole, got.getField(self.spec.level_field))), ts.isNotNull(), ~whole)
 
     def _get(self, key: str) -> Column:
         if "'" in key:
@@ -172,7 +172,7 @@ class Logfmt(LineFormat):
         read = F.filter(F.transform(times, rfc3339_micros), lambda t: t.isNotNull())
         micros = F.try_element_at(read, F.lit(-1))
         paired = self.raw.rlike(r"[^= \t]")
-        return Parsed(micros, severity_of(F.try_element_at(levels, F.lit(-1))), micros.isNull() & (F.size(times) > 0), ~paired)
+        return Parsed(micros, severity_of(F.try_element_at(levels, F.lit(-1))), F.size(times) > 0, ~paired)
 
     def project(self, key: str) -> Column:
         return F.get(self._values(key), F.lit(0))
@@ -215,7 +215,7 @@ class PythonLogging(LineFormat):
     def parse(self) -> Parsed:
         split, micros = self.raw.contains(" - "), _spaced_time(self._part(0))
         level = F.btrim(self._part(2), F.lit(BLANKS))
-        return Parsed(F.when(split, micros), F.when(micros.isNotNull(), severity_of(level)).otherwise(F.lit(UNKNOWN).cast("tinyint")), split & micros.isNull(), ~split)
+        return Parsed(F.when(split, micros), F.when(micros.isNotNull(), severity_of(level)).otherwise(F.lit(UNKNOWN).cast("tinyint")), split, ~split)
 
     def project(self, key: str) -> Column:
         third = self._part(2).isNotNull()
@@ -266,7 +266,7 @@ class Syslog(Matched):
     def parse(self) -> Parsed:
         stamp = self._group(2)
         micros = F.when(self._fits & (stamp != "-"), rfc3339_micros(stamp))
-        return Parsed(micros, F.when(self._fits, self._severity).otherwise(F.lit(UNKNOWN).cast("tinyint")), self._fits & (stamp != "-") & micros.isNull(), ~self._fits)
+        return Parsed(micros, F.when(self._fits, self._severity).otherwise(F.lit(UNKNOWN).cast("tinyint")), self._fits & (stamp != "-"), ~self._fits)
 
     def project(self, key: str) -> Column:
         if key in self.FIELDS or key == "ts":
@@ -312,7 +312,7 @@ class Delimited(LineFormat):
     def parse(self) -> Parsed:
         ts = self._named(self.spec.time_field)
         micros = rfc3339_micros(ts)
-        return Parsed(micros, severity_of(self._named(self.spec.level_field)), F.coalesce(ts != "", F.lit(False)) & micros.isNull(), F.lit(False))
+        return Parsed(micros, severity_of(self._named(self.spec.level_field)), F.coalesce(ts != "", F.lit(False)), F.lit(False))
 
     def project(self, key: str) -> Column:
         if key not in self.spec.header and key.startswith("_") and key[1:].isdigit() and int(key[1:]) >= 1:
@@ -348,7 +348,7 @@ class Access(Matched):
 
     def parse(self) -> Parsed:
         fits, micros = self._fits, self._time()
-        return Parsed(F.when(fits, micros), F.when(fits, self._severity).otherwise(F.lit(UNKNOWN).cast("tinyint")), fits & micros.isNull(), ~fits)
+        return Parsed(F.when(fits, micros), F.when(fits, self._severity).otherwise(F.lit(UNKNOWN).cast("tinyint")), fits, ~fits)
 
     def project(self, key: str) -> Column:
         unescaped = lambda c: F.regexp_replace(F.substring(c, F.lit(2), F.length(c) - 2), r"(?s)\\(.)", "$1")
@@ -379,7 +379,7 @@ class Logback(Matched):
 
     def parse(self) -> Parsed:
         fits, micros = self._fits, _spaced_time(self._group(1))
-        return Parsed(F.when(fits, micros), F.when(fits, severity_of(self._group(2))).otherwise(F.lit(UNKNOWN).cast("tinyint")), fits & micros.isNull(), ~fits)
+        return Parsed(F.when(fits, micros), F.when(fits, severity_of(self._group(2))).otherwise(F.lit(UNKNOWN).cast("tinyint")), fits, ~fits)
 
     def project(self, key: str) -> Column:
         tail = self._group(4)
@@ -414,7 +414,7 @@ class Journalctl(Ndjson):
     def parse(self) -> Parsed:
         stamp = super().project("__REALTIME_TIMESTAMP")
         micros = F.when(stamp.rlike(r"^[+-]?[0-9]+$"), stamp.try_cast("bigint"))
-        return Parsed(micros, self._severity, stamp.isNotNull() & micros.isNull(), F.lit(False))
+        return Parsed(micros, self._severity, stamp.isNotNull(), F.lit(False))
 
     def project(self, key: str) -> Column:
         if key == "level":
@@ -441,7 +441,7 @@ class Pattern(LineFormat):
     def parse(self) -> Parsed:
         fits, stamp = F.size(self.line) > 1, self._group(self.spec.time_field)
         micros = padded_micros(stamp)
-        return Parsed(micros, severity_of(self._group(self.spec.level_field)), fits & stamp.isNotNull() & micros.isNull(), ~fits)
+        return Parsed(micros, severity_of(self._group(self.spec.level_field)), fits & stamp.isNotNull(), ~fits)
 
     def project(self, key: str) -> Column:
         if key == self.spec.level_field == "level":

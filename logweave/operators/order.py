@@ -14,6 +14,8 @@ from logweave.functions.record import UNTIMED_ORDER
 
 CHUNK_ROWS = 1 << 16
 RANGES = 256
+#: Most splits whose starts (a path and three numbers each) are broadcast; 128 MB a split make this 64 TB.
+BROADCAST_SPLITS = 500_000
 
 
 def running(df: DataFrame, value: Column, how: str, out: str, key: str = "source_id", seq: str = "seq", chunk_rows: int = CHUNK_ROWS) -> DataFrame:
@@ -30,15 +32,19 @@ def running(df: DataFrame, value: Column, how: str, out: str, key: str = "source
     return met.withColumn(out, both).drop("__chunk", "__value", "__key", "__c", "__carry", "__local")
 
 
-def numbered_lines(lines: DataFrame, out: str = "seq") -> DataFrame:
+def numbered_lines(lines: DataFrame, out: str = "seq", most_splits: int | None = None) -> DataFrame:
     """Add ``out``: 0-based numbers in order of file name and place. ``lines`` carries ``_path`` and ``_block`` (file and split start).
 
     Rows of a split keep their order; the number of rows in earlier splits (one row a split) is added.
+    ``most_splits``: how many there may be. Up to ``BROADCAST_SPLITS`` their starts are broadcast and no text is shuffled;
+    beyond, or where the number is not known, the planner picks the join.
     """
     rows = lines.withColumn("__id", F.monotonically_increasing_id())
     splits = rows.groupBy("_path", "_block").agg(F.count(F.lit(1)).alias("n"), F.min("__id").alias("__first"))
     before = Window.partitionBy(F.lit(0)).orderBy("_path", "_block").rowsBetween(Window.unboundedPreceding, -1)
     starts = splits.select(F.col("_path").alias("__p"), F.col("_block").alias("__b"), "__first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__start"))
+    if most_splits is not None and most_splits <= BROADCAST_SPLITS:
+        starts = F.broadcast(starts)
     met = rows.join(starts, (F.col("_path") == F.col("__p")) & (F.col("_block") == F.col("__b")))
     return met.withColumn(out, (F.col("__start") + F.col("__id") - F.col("__first")).cast("long")).drop("__id", "__p", "__b", "__first", "__start", "_path", "_block")
 

@@ -25,9 +25,11 @@ def parse_lines(lines: DataFrame, spec: SourceSpec, fold: bool = False, fields:
     wanted = fields or {}
     lines, made = made.held(lines, tuple(dict.fromkeys(wanted.values())))
     p = made.parse()
+    # A column of its own, so that the time is read once for its value and its flag.
+    lines, micros = lines.withColumn("__micros", p.ts_micros), F.col("__micros")
     header = F.col("seq") == 0 if spec.header else F.lit(False)
     return lines.select(
-        "source_id", "seq", p.ts_micros.alias("ts_micros"), p.severity.alias("severity"), "raw", F.coalesce(p.bad_ts, F.lit(False)).alias("bad_ts"),
+        "source_id", "seq", micros.alias("ts_micros"), p.severity.alias("severity"), "raw", F.coalesce(p.timed & micros.isNull(), F.lit(False)).alias("bad_ts"),
         F.coalesce(p.bad_line, F.lit(False)).alias("bad_line"), header.alias("is_header"), *(made.project(k).alias(c) for c, k in wanted.items()),
     )
 

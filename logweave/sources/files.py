@@ -84,7 +84,9 @@ def text_lines(spark: SparkSession, path: str, source_id: int = 0, keep_cr: bool
     """Non-empty lines of a text file or folder, plain or with a codec's suffix, read in splits and numbered in file order."""
     read = spark.read.option("lineSep", "\n").text(path)
     placed = read.select("value", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_block"))
-    numbered = numbered_lines(_cleaned(placed, keep_cr))
+    # A task reads one full split or several ends of files, so there are no more splits than tasks and files.
+    splits = read.rdd.getNumPartitions() + len(read.inputFiles())
+    numbered = numbered_lines(_cleaned(placed, keep_cr), most_splits=splits)
     return numbered.select(F.lit(source_id).alias("source_id"), "seq", "raw")
 
 

@@ -92,14 +92,20 @@ def test_lines(spark, put):
     assert LogEngine.open(spark, put("empty.log", b"")).records.count() == 0
 
 
-def test_numbers_run_through_splits(spark, put):
+@pytest.mark.parametrize("broadcast", [order.BROADCAST_SPLITS, 3])
+def test_numbers_run_through_splits(spark, put, monkeypatch, broadcast):
+    monkeypatch.setattr(order, "BROADCAST_SPLITS", broadcast)
     path = put("big.log", "".join(f"line {i} {'x' * (i % 97)}\n" for i in range(20_000)).encode())
     spark.conf.set("spark.sql.files.maxPartitionBytes", "40000")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
+        assert spark.read.text(path).rdd.getNumPartitions() > 5
         got = files.text_lines(spark, path).select("seq", F.regexp_extract("raw", r"line (\d+)", 1).cast("long").alias("n"))
-        assert got.rdd.getNumPartitions() > 5 and got.where("seq <> n").count() == 0 and got.count() == 20_000
+        assert ("BroadcastHashJoin" in got._jdf.queryExecution().sparkPlan().toString()) == (broadcast > 3)
+        assert got.where("seq <> n").count() == 0 and got.count() == 20_000
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
 def test_save(spark, put, tmp_path):
