@@ -9,27 +9,38 @@ lines' marginal probabilities of good, weighted by line length; a logistic calib
 the training documents maps it to a probability.
 
 Learning reads at most ``MAX_DOCS`` labelled documents that are not held out (those with the
-smallest md5 of their id). Learning, calibration and scoring all read whole texts.
+smallest md5 of their id, of at most ``MAX_DOC_LINES`` lines each and ``MAX_LINES`` in all, which bounds
+the driver). Learning, calibration and scoring all read whole texts. A text of many lines is scored in
+blocks: what is held besides the text is a few numbers a line (lines that repeat are told by a 64-bit hash).
 
 Defined cases: null or empty text has one empty line; without anything to learn from every
 score is 0.5; labels other than 0 and 1 and null labels are not learned from; a document with
-several labels counts with the smallest; repeated rows give repeated results; columns other
-than doc_id and text are not inputs of a score.
+several labels counts with the smallest; of rows that repeat an id the least text is learned from;
+repeated rows give repeated results; columns other than doc_id and text are not inputs of a score.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from logweave.llm.common import held_out, text_batches
 
 MAX_DOCS = 3000
+#: Labelled documents with more lines than this are not learned from, nor those that come after this many lines in all.
+MAX_DOC_LINES = 5000
+MAX_LINES = 400_000
 STEPS = 150
+#: Texts with more lines than this are scored by themselves, block by block.
+LONG_LINES = 2000
+#: Lines that are scored at once, and characters of one block of a long text, about.
+BATCH_LINES = 50_000
+BLOCK_CHARS = 1 << 20
 
 
 def _classes() -> np.ndarray:
@@ -46,24 +57,15 @@ def _classes() -> np.ndarray:
 _TABLE: list[np.ndarray] = []
 
 
-def line_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Features of each line with its neighbours', line lengths, and lines of each text."""
+def own_features(lines: list[str], repeated: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Features of each line by itself and line lengths; ``repeated`` marks lines that occur again in their text."""
     if not _TABLE:
         _TABLE.append(_classes())
-    lines: list[str] = []
-    counts, repeated, distinct, runs = [], [], [], []
-    for t in texts:
-        own = t.split("\n")
-        seen: dict[str, int] = {}
-        for x in own:
-            seen[x] = seen.get(x, 0) + 1
-        for x in own:
-            w = x.split()
-            repeated.append(seen[x] > 1 and len(x) > 0)
-            distinct.append(len(set(w)) / len(w) if w else 1.0)
-            runs.append(sum(a == b for a, b in zip(w, w[1:], strict=False)) / len(w) if w else 0.0)
-        lines += own
-        counts.append(len(own))
+    distinct, runs = np.ones(len(lines)), np.zeros(len(lines))
+    for i, x in enumerate(lines):
+        if w := x.split():
+            distinct[i] = len(set(w)) / len(w)
+            runs[i] = sum(a == b for a, b in zip(w, w[1:], strict=False)) / len(w)
     size = np.array([len(x) for x in lines])
     joined = "\n".join(lines) + "\n"
     cls = _TABLE[0][np.frombuffer(joined.encode("utf-32-le", "replace"), np.uint32)]
@@ -79,8 +81,22 @@ def line_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     solid = np.maximum(body - space, 1)
     own = np.stack([
         np.ones(len(lines)), np.log1p(size) / 5, (lower + upper) / solid, upper / np.maximum(lower + upper, 1), digit / solid, mark / solid, other / solid * 3,
-        np.minimum(solid / words, 20) / 10, np.array(distinct), np.array(runs), odd_ends, np.array(repeated, float), (size < 20).astype(float),
+        np.minimum(solid / words, 20) / 10, distinct, runs, odd_ends, repeated.astype(float), (size < 20).astype(float),
     ], 1)
+    return own, size
+
+
+def line_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Features of each line with its neighbours', line lengths, and lines of each text."""
+    lines: list[str] = []
+    counts, repeated = [], []
+    for t in texts:
+        split = t.split("\n")
+        seen = Counter(split)
+        repeated += [seen[x] > 1 and len(x) > 0 for x in split]
+        lines += split
+        counts.append(len(split))
+    own, size = own_features(lines, np.array(repeated))
     n = np.array(counts)
     first = np.concatenate([[0], np.cumsum(n)[:-1]])
     before, after = np.zeros_like(own[:, 1:]), np.zeros_like(own[:, 1:])
@@ -90,6 +106,41 @@ def line_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return np.concatenate([own, before, after], 1), size, n
 
 
+def line_blocks(text: str, chars: int = BLOCK_CHARS) -> Iterator[list[str]]:
+    """The lines of ``text`` in order, in lists of about ``chars`` characters (a longer line is whole)."""
+    rest = ""
+    for at in range(0, len(text), chars):
+        lines = (rest + text[at : at + chars]).split("\n")
+        rest = lines.pop()
+        if lines:
+            yield lines
+    yield [rest]
+
+
+def chain_marginals(score: np.ndarray, pair: np.ndarray) -> np.ndarray:
+    """``marginals`` of one chain of any length: forward-backward on ratios of good over bad, a few numbers a line."""
+    (m00, m01), (m10, m11) = np.exp(pair - pair.max()).tolist()
+    odds = np.exp(np.clip(score, -300, 300))
+    fore, back = np.empty_like(odds), np.empty_like(odds)
+    step = 1 << 16
+    r = None
+    for at in range(0, len(odds), step):
+        out = []
+        for e in odds[at : at + step].tolist():
+            r = e if r is None else e * (m01 + r * m11) / (m00 + r * m10)
+            out.append(r)
+        fore[at : at + step] = out
+    q = 1.0
+    for end in range(len(odds), 0, -step):
+        out = []
+        for e in odds[max(0, end - step) : end][::-1].tolist():
+            out.append(q)
+            q = (m10 + m11 * e * q) / (m00 + m01 * e * q)
+        back[max(0, end - step) : end] = out[::-1]
+    both = fore * back
+    return both / (1 + both)
+
+
 def marginals(score: np.ndarray, pair: np.ndarray, n: np.ndarray, expect: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
     """P(good) of every line by forward-backward over chains of ``n`` lines, and the expected pairs of labels if wanted.
 
@@ -165,18 +216,67 @@ class LineCRF:
         mean = np.add.reduceat(good * weight, first) / np.add.reduceat(weight, first)
         return np.log(np.clip(mean, 1e-6, 1 - 1e-6) / (1 - np.clip(mean, 1e-6, 1 - 1e-6)))
 
+    def raw_long(self, text: str) -> float:
+        """``raw`` of one text of many lines, whose features are never held all at once."""
+        marks = np.concatenate([np.array([hash(x) for x in lines], np.int64) for lines in line_blocks(text)])
+        _, kind, times = np.unique(marks, return_inverse=True, return_counts=True)
+        repeated = times[kind] > 1
+        del marks, kind, times
+        v = self.w / self.scale
+        k = (len(v) + 2) // 3  # a line's own features; each neighbour has all but the constant
+        sizes, own, as_before, as_after = [], [], [], []
+        at = 0
+        for lines in line_blocks(text):
+            size = np.array([len(x) for x in lines])
+            x, size = own_features(lines, repeated[at : at + len(lines)] & (size > 0))
+            at += len(lines)
+            sizes.append(size)
+            own.append(x @ v[:k])
+            as_before.append(x[:, 1:] @ v[k : 2 * k - 1])
+            as_after.append(x[:, 1:] @ v[2 * k - 1 :])
+        score = np.concatenate(own) - self.mean @ v
+        score[1:] += np.concatenate(as_before)[:-1]
+        score[:-1] += np.concatenate(as_after)[1:]
+        weight = np.concatenate(sizes) + 1.0
+        mean = np.clip((chain_marginals(score, self.pair) * weight).sum() / weight.sum(), 1e-6, 1 - 1e-6)
+        return float(np.log(mean / (1 - mean)))
+
     def score(self, texts: list[str]) -> np.ndarray:
-        if not texts:
-            return np.zeros(0)
-        s = self.slope * self.raw(*line_features(texts)) + self.shift
-        return 1 / (1 + np.exp(-np.clip(s, -30, 30)))
+        """Calibrated scores; texts of many lines go by themselves, the rest some ``BATCH_LINES`` lines at a time."""
+        s = np.zeros(len(texts))
+        held: list[int] = []
+        lines = 0
+
+        def flush() -> None:
+            if held:
+                s[held] = self.raw(*line_features([texts[i] for i in held]))
+
+        for i, t in enumerate(texts):
+            n = t.count("\n") + 1
+            if n > LONG_LINES:
+                s[i] = self.raw_long(t)
+                continue
+            if lines + n > BATCH_LINES:
+                flush()
+                held, lines = [], 0
+            held.append(i)
+            lines += n
+        flush()
+        return 1 / (1 + np.exp(-np.clip(self.slope * s + self.shift, -30, 30)))
 
 
 def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS) -> LineCRF | None:
     """Learn from the labelled rows that are not held out; features are made on the executors."""
     marks = labels.where(F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id"))).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").cast("int").alias("quality"))
     chosen = marks.orderBy(F.md5(F.col("doc_id").cast("string").cast("binary")), "doc_id").limit(max_docs)
-    sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    lines = F.length("text") - F.length(F.replace("text", F.lit("\n"))) + 1
+    own = rows.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.min("text").alias("text"))
+    # At most max_docs rows, so one window may hold them.
+    so_far = Window.partitionBy(F.lit(0)).orderBy(F.md5(F.col("doc_id").cast("string").cast("binary")), "doc_id")
+    short = own.withColumn("lines", lines).where(F.col("lines") <= MAX_DOC_LINES)
+    fit = short.select("doc_id", "lines").withColumn("upto", F.sum("lines").over(so_far)).where(F.col("upto") <= MAX_LINES).select("doc_id")
+    sample = short.join(F.broadcast(fit), "doc_id").select("doc_id", "quality", "text")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in text_batches(batches, 500):
@@ -184,7 +284,7 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS) -> LineC
             cut = np.concatenate([[0], np.cumsum(n)])
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([x[i:j].ravel().astype(np.float32) for i, j in zip(cut, cut[1:], strict=False)], pa.list_(pa.float32())), pa.array([size[i:j] for i, j in zip(cut, cut[1:], strict=False)], pa.list_(pa.int64()))], ["doc_id", "quality", "x", "size"])
 
-    got = sample.mapInArrow(features, "doc_id long, quality int, x array<float>, size array<long>").orderBy("doc_id", "size").limit(2 * max_docs).toArrow()
+    got = sample.mapInArrow(features, "doc_id long, quality int, x array<float>, size array<long>").orderBy("doc_id").toArrow()
     y = got["quality"].to_numpy() if got.num_rows else np.zeros(0)
     if len(set(y.tolist())) < 2:
         return None

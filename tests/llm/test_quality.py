@@ -38,6 +38,59 @@ def test_features_have_a_row_a_line():
     assert np.allclose(x[2:6], alone)
 
 
+def test_long_chains_equal_short_ones():
+    r = np.random.default_rng(1)
+    for scale in (1, 40):
+        score, pair = r.normal(size=70_000) * scale, r.normal(size=(2, 2))
+        assert np.allclose(Q.chain_marginals(score, pair), Q.marginals(score, pair, np.array([len(score)]))[0], atol=1e-9)
+    for n in (1, 2, 7):
+        assert np.allclose(Q.chain_marginals(score[:n], pair), Q.marginals(score[:n], pair, np.array([n]))[0])
+
+
+def model():
+    r = np.random.default_rng(2)
+    lines = ["", "same", "A sentence of words, here.", "#### 12 @@ !!", "tail tail tail", "  blank  "]
+    texts = ["\n".join(r.choice(lines, r.integers(1, 30))) for _ in range(60)]
+    return Q.LineCRF(*Q.line_features(texts), r.integers(0, 2, 60), 20), texts
+
+
+def test_blocks_hold_every_line():
+    for text in ("", "\n", "a", "a\n\nb", "x" * 50 + "\nlast", "\n" * 9, "ab\ncd\n"):
+        for chars in (1, 3, 1000):
+            assert [x for b in Q.line_blocks(text, chars) for x in b] == text.split("\n")
+
+
+def test_long_texts_are_scored_alike(monkeypatch):
+    crf, texts = model()
+    texts += ["\n".join(texts * 5), "\n" * 3000, "", "one"]
+    whole = crf.raw(*Q.line_features(texts))
+    monkeypatch.setattr(Q.line_blocks, "__defaults__", (97,))
+    assert np.allclose([crf.raw_long(t) for t in texts], whole, atol=1e-8)
+    want = crf.score(texts)
+    monkeypatch.setattr(Q, "LONG_LINES", 3)
+    monkeypatch.setattr(Q, "BATCH_LINES", 10)
+    assert np.allclose(crf.score(texts), want, atol=1e-8) and len(crf.score([])) == 0
+
+
+def test_a_million_lines():
+    crf, _ = model()
+    assert 0 <= crf.score(["a b\n" * 500_000 + "\n" * 500_000])[0] <= 1
+
+
+def test_learning_reads_one_text_an_id_and_bounded_lines(docs, spark, monkeypatch):
+    prose, junk = "The house stands near a river.\n" * 4, "#$ 12 %% @@ 34 !!\n" * 4
+    rows = [(i, prose if i % 2 else junk, "en", "s") for i in range(60)]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(60)], "doc_id long, quality int, toxic int")
+    one, twice = Q.train(docs(rows), labels), Q.train(docs(rows + rows), labels)
+    assert np.allclose(one.w, twice.w)
+    monkeypatch.setattr(Q, "MAX_DOC_LINES", 4)
+    assert Q.train(docs(rows), labels) is None
+    monkeypatch.setattr(Q, "MAX_DOC_LINES", 5)
+    monkeypatch.setattr(Q, "MAX_LINES", 100)
+    few = Q.train(docs(rows), labels)
+    assert few is None or not np.allclose(few.w, one.w)
+
+
 def test_odd_rows(docs, spark):
     labels = spark.createDataFrame([(1, 1, 0), (2, 0, 0), (6, 0, 1), (7, 1, 0), (7, None, 0), (4, 5, 0)], "doc_id long, quality int, toxic int")
     d = docs(ODD)
