@@ -19,10 +19,12 @@ from pyspark.sql import functions as F
 SECTION = r"(?s).+?(?:\n{2,}|\z)"
 PARAGRAPH = r"[^\n]*\n|[^\n]+"
 LEAF = r"(?s).{1,96}?(?:[.!?]+[ \n\r\t]+|\z)|.{1,96}"
-#: Rows of a range of ids; a window over texts holds one range at a time. Beyond MAX_RANGES ranges (the bounds are part
-#: of the plan) ranges grow instead, and sort with spilling.
+#: Rows of a range of ids; a window over texts holds one range at a time. Ids are cut at up to MAX_CUTS quantiles (they are
+#: part of the plan), the ids between two cuts into up to MAX_PARTS equal widths: a million ranges, whose first ids are
+#: broadcast (40 MB). Beyond a billion rows ranges grow, and sort with spilling.
 RANGE_ROWS = 1024
-MAX_RANGES = 8192
+MAX_CUTS = 8192
+MAX_PARTS = 128
 
 
 def _cut(text: Column, pattern: str) -> Column:
@@ -70,36 +72,44 @@ def differing(tree: Column, other: Column) -> Column:
 def with_next(docs: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
     """doc_id, text and next_text (of the next id; after the last, the first), without sorting all rows in one task.
 
-    Ids are cut at quantiles into ranges. Each range's first row also goes, marked, to the
+    Ids are cut at quantiles, and between these evenly, into ranges. Each range's first row also goes, marked, to the
     range before it, so a window inside each range sees every successor and texts are dealt once.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    n, least = docs.agg(F.count(F.lit(1)), F.min("doc_id")).first()
-    ranges = min(MAX_RANGES, max(1, -(-n // range_rows)))
+    n, least, most = docs.agg(F.count(F.lit(1)), F.min(F.col("doc_id").cast("long")), F.max(F.col("doc_id").cast("long"))).first()
+    wanted = max(1, -(-n // range_rows))
+    ranges, parts = min(MAX_CUTS, wanted), min(MAX_PARTS, -(-wanted // MAX_CUTS))
     if ranges > 1 and least is not None:
-        wanted = [i / ranges for i in range(1, ranges)]
-        cuts = sorted(set(docs.agg(F.percentile_approx("doc_id", wanted, max(10_000, 20 * ranges))).first()[0]))
+        shares = [i / ranges for i in range(1, ranges)]
+        cuts = sorted(set(docs.agg(F.percentile_approx(F.col("doc_id").cast("long"), shares, max(10_000, 20 * ranges))).first()[0]))
     else:
         cuts = []
     step = max(1, int(len(cuts) ** 0.5))
     coarse, groups = cuts[::step], [cuts[i : i + step] for i in range(0, len(cuts), step)]
+    literal = lambda ids: "array(" + ", ".join("cast('-9223372036854775808' as bigint)" if i == -(2**63) else f"{i}L" for i in ids) + ")"
 
-    def place(doc_id: Column) -> Column:
+    def between(doc_id: Column) -> Column:
         """Number of cuts that are at most the id, through a two-level search; null ids come first."""
-        if not cuts:
-            return F.lit(0)
-        literal = lambda ids: "array(" + ", ".join(f"{i}L" for i in ids) + ")"
         c = F.size(F.filter(F.expr(literal(coarse)), lambda x: x <= doc_id))
         fine = F.element_at(F.expr(f"array({', '.join(literal([*g, *[2**63 - 1] * (step - len(g))]) for g in groups)})"), F.greatest(c, F.lit(1)))
         return F.when(doc_id.isNull() | (c == 0), 0).otherwise((c - 1) * step + F.size(F.filter(fine, lambda x: (x <= doc_id) & (x < 2**63 - 1))))
 
-    last = len(cuts)
-    ranged = rows.withColumn("range", place(F.col("doc_id")).cast("int"))
-    firsts = docs.select(F.col("doc_id").cast("long").alias("doc_id")).withColumn("range", place(F.col("doc_id")).cast("int")).groupBy("range").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("named"), "doc_id")).alias("first"))
+    def ranged(df: DataFrame) -> DataFrame:
+        """Add ``range``, which never falls as the id grows."""
+        if not cuts:
+            return df.withColumn("range", F.lit(0))
+        at = df.withColumn("range", between(F.col("doc_id")).cast("int"))
+        if parts == 1:
+            return at
+        low, high = (F.element_at(F.expr(literal(x)), F.col("range") + 1).cast("double") for x in ([least, *cuts], [*cuts, most]))
+        part = F.floor((F.col("doc_id").cast("double") - low) / F.greatest(high - low, F.lit(1.0)) * parts)
+        return at.withColumn("range", F.col("range") * parts + F.coalesce(F.least(F.greatest(part, F.lit(0)), F.lit(parts - 1)), F.lit(0)).cast("int"))
+
+    firsts = ranged(docs.select(F.col("doc_id").cast("long").alias("doc_id"))).groupBy("range").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("named"), "doc_id")).alias("first"))
     # At most one row a range. A range's predecessor is the nearest range below that has rows (ranges may be empty).
     order = Window.partitionBy(F.lit(0)).orderBy("range")
     back = firsts.select(F.col("range").alias("r"), F.col("first.doc_id").alias("first_id"), F.coalesce(F.lag("range").over(order), F.max("range").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("before"))
-    marked = ranged.join(F.broadcast(back) if last <= 65_536 else back, F.col("range") == F.col("r"))
+    marked = ranged(rows).join(F.broadcast(back), F.col("range") == F.col("r"))  # at most MAX_CUTS * MAX_PARTS small rows
     ghost = F.when(F.col("doc_id").eqNullSafe(F.col("first_id")), F.array(F.struct(F.lit(0).alias("ghost"), F.col("range").alias("at")), F.struct(F.lit(1).alias("ghost"), F.col("before").alias("at")))).otherwise(F.array(F.struct(F.lit(0).alias("ghost"), F.col("range").alias("at"))))
     dealt = marked.select("doc_id", "text", F.explode(ghost).alias("g")).select("doc_id", "text", "g.ghost", "g.at")
     w = Window.partitionBy("at").orderBy("ghost", F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))

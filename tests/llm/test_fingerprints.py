@@ -46,6 +46,16 @@ def test_equals_brute_force(docs, monkeypatch, rows_in_range):
         assert tuple(r[c] for c in ("n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")) == want[r["doc_id"]]
 
 
+def test_ranges_between_quantiles(spark, monkeypatch):
+    monkeypatch.setattr(P, "MAX_CUTS", 4)
+    monkeypatch.setattr(P, "MAX_PARTS", 5)
+    ids = [-(2**63), -(2**63) + 1, -5, 0, 1, 2, *range(100, 160), 10**15, 2**62, 2**63 - 2, 2**63 - 1, None]
+    d = spark.createDataFrame([(i, f"text of {i}") for i in ids], "doc_id long, text string").repartition(3)
+    got = {r["text"]: r["next_text"] for r in P.with_next(d, 2).collect()}
+    order = [f"text of {i}" for i in [None, *ids[:-1]]]
+    assert got == dict(zip(order, [*order[1:], order[0]], strict=True))
+
+
 def test_odd_rows(docs):
     got = P.fingerprint_edits(docs(ODD)).collect()
     assert len(got) == len(ODD)
