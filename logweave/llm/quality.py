@@ -275,8 +275,8 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS) -> LineC
     # At most max_docs rows, so one window may hold them.
     so_far = Window.partitionBy(F.lit(0)).orderBy(F.md5(F.col("doc_id").cast("string").cast("binary")), "doc_id")
     short = own.withColumn("lines", lines).where(F.col("lines") <= MAX_DOC_LINES)
-    fit = short.select("doc_id", "lines").withColumn("upto", F.sum("lines").over(so_far)).where(F.col("upto") <= MAX_LINES).select("doc_id")
-    sample = short.join(F.broadcast(fit), "doc_id").select("doc_id", "quality", "text")
+    fit = short.withColumn("upto", F.sum("lines").over(so_far)).where(F.col("upto") <= MAX_LINES)
+    sample = fit.select("doc_id", "quality", "text").repartition(16, "doc_id")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in text_batches(batches, 500):
