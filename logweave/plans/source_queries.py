@@ -148,10 +148,13 @@ MALFORMED = {
     "csv": ("", "words time", "time"), "tsv": ("", "words time", "time"), "access": ("words", "time", "time"), "logback": ("words", "time", "time"), "journalctl": ("", "time", "time"), "regex": ("words", "time", "time"),
 }
 
+#: The year of a line's time, of which one digit is broken; the same digits may be a user or a fraction of a second.
+_YEAR = r"(?<![0-9])([0-9]{2})[0-9]([0-9])(?=-[0-9]{2}-[0-9]{2}[T ]|:[0-9]{2}:[0-9]{2}:[0-9]{2})"
+
 
 def _malformed(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
     spec, raw, _ = Q._format_lines()[name]
-    broken = F.regexp_replace(raw, 'TIMESTAMP":"', 'TIMESTAMP":"x') if name == "journalctl" else F.regexp_replace(raw, "2024", "20x4")
+    broken = F.regexp_replace(raw, 'TIMESTAMP":"', 'TIMESTAMP":"x') if name == "journalctl" else F.regexp_replace(raw, _YEAR, "$1x$2")
     odd = F.when(F.col("event_id") % 4 == 1, "no such line").when(F.col("event_id") % 4 == 2, broken).otherwise(raw)
     events = Q._events(spark, sf_dir).withColumn("timed", F.lit(True))
     parsed = records.parse_lines(Q.lines_of(events, odd), spec)
