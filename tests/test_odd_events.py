@@ -30,3 +30,7 @@ def test_only_the_year_of_a_malformed_time_is_broken(spark, tmp_path, name):
     """A fraction of a second that holds the digits of the year stays whole, as do other years."""
     stamps = [datetime(2024, 1, 1, 0, 0, 11, 202435), datetime(2024, 1, 1, 20, 24, 20, 120240), datetime(2031, 12, 31, 23, 59, 59, 999999)]
     compare(spark, tmp_path, f"fmt_{name}_malformed", stamps, [7])
+
+
+def test_a_user_like_the_year_is_kept(spark, tmp_path):
+    compare(spark, tmp_path, "fmt_regex_malformed", [datetime(2024, 1, 1, 0, 0, 11, 202435)], [7, 2024, 120245])
