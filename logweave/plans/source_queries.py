@@ -257,10 +257,24 @@ def column_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(cap, asked, navigation.column_limit(cap, asked)) for cap in range(6) for asked in range(6)], "cap int, asked int, columns int")
 
 
-def _log_file(lines: DataFrame, path: str) -> None:
-    """A file that the driver can follow."""
-    with open(path, "a", encoding="utf-8") as f:
-        f.writelines(_texts(lines))
+def _log_file(spark: SparkSession, lines: DataFrame, path: str) -> None:
+    """A file that the driver can follow: the lines are written by all tasks, the JVM joins their files."""
+    parts = _plain(spark, lines)
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(parts)
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    to = jvm.java.io.FileOutputStream(path, True)
+    try:
+        for name in sorted(s.getPath().getName() for s in fs.listStatus(folder)):
+            if name.startswith("part-"):
+                part = fs.open(jvm.org.apache.hadoop.fs.Path(folder, name))
+                try:
+                    jvm.org.apache.hadoop.io.IOUtils.copyBytes(part, to, 1 << 20, False)
+                finally:
+                    part.close()
+    finally:
+        to.close()
+    fs.delete(folder, True)
 
 
 def live_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -268,7 +282,7 @@ def live_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from logweave.streaming import live
 
     folder = tempfile.mkdtemp(prefix="logweave-")
-    _log_file(_lines(spark, sf_dir), f"{folder}/a.log")
+    _log_file(spark, _lines(spark, sf_dir), f"{folder}/a.log")
     out = _fresh(spark, "live")
     query = live.append_records(follow(spark, f"{folder}/a.log", max_bytes=1 << 16), out, f"{out}-checkpoint", "10 milliseconds")
     try:
@@ -282,23 +296,27 @@ def live_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rotated_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The even events, then a rotation, then the odd ones, read on through the change."""
+    """The even events, then a rotation, then the odd ones, read on through the change; the driver holds a batch of 64 KB and a piece."""
     from logweave.streaming.tail import TailReader
 
-    folder, lines = tempfile.mkdtemp(prefix="logweave-"), _lines(spark, sf_dir)
-    path, seen = f"{folder}/a.log", []
-    reader = TailReader(path, 1 << 16)
-    at = reader.initialOffset()
-    for k in (0, 1):
-        _log_file(lines.where(F.col("line_id") % 2 == k), path)
-        while True:
-            rows, after = reader.read(at)
-            if after == at:
-                break
-            seen += [(0, *r) for r in rows]
-            at = after
-        os.rename(path, f"{path}.{k}")
-    parsed = records.parse_lines(spark.createDataFrame(seen, "source_id int, seq long, raw string"), SourceSpec(), fields={"user": "user"})
+    lines = _lines(spark, sf_dir)
+
+    def read_on(path: str) -> Iterator[tuple[int, str]]:
+        reader = TailReader(path, 1 << 16)
+        at = reader.initialOffset()
+        for k in (0, 1):
+            _log_file(spark, lines.where(F.col("line_id") % 2 == k), path)
+            while True:
+                rows, after = reader.read(at)
+                if after == at:
+                    break
+                yield from rows
+                at = after
+            os.rename(path, f"{path}.{k}")
+
+    with tempfile.TemporaryDirectory(prefix="logweave-") as folder:
+        kept = files.spooled_rows(spark, read_on(f"{folder}/a.log"), piece=500)
+    parsed = records.parse_lines(kept, SourceSpec(), fields={"user": "user"})
     return parsed.select(F.col("seq").alias("line_id"), "ts_micros", "user")
 
 

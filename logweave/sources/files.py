@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import json
 import sys
+import tempfile
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
-from itertools import islice
+from itertools import count, islice
 from pathlib import Path
 
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,6 +25,10 @@ PROBE_LINES = 64
 ARRAY_BYTES = 64 << 20
 #: Lines of standard input that the driver holds at a time.
 SPOOL_LINES = 200_000
+#: Bytes of spooled lines in a row group, which the driver holds, and in a file, of which one at a time is on its disk.
+SPOOL_GROUP, SPOOL_FILE = 8 << 20, 64 << 20
+LINES = "source_id int, seq long, raw string"
+SPOOLED = pa.schema([("source_id", pa.int32()), ("seq", pa.int64()), ("raw", pa.string())])
 GZIP, ZSTD = b"\x1f\x8b", b"\x28\xb5\x2f\xfd"
 SUFFIXES = {"gzip": ".gz", "zstd": ".zst"}
 
@@ -162,7 +168,44 @@ def _kept(lines: Iterable[str]) -> Iterator[str]:
 
 def given_lines(spark: SparkSession, lines: Iterable[str], source_id: int = 0) -> DataFrame:
     """Lines in memory."""
-    return spark.createDataFrame([(source_id, i, x) for i, x in enumerate(_kept(lines))], "source_id int, seq long, raw string")
+    return spark.createDataFrame([(source_id, i, x) for i, x in enumerate(_kept(lines))], LINES)
+
+
+def _batch(source_id: int, held: list[tuple[int, str]]) -> pa.RecordBatch:
+    numbers, texts = zip(*held, strict=True)
+    try:
+        raw = pa.array(texts, pa.string())
+    except UnicodeEncodeError:  # bytes that are no UTF-8 are lone surrogates in Python's standard input
+        raw = pa.array([x.encode("utf-8", "surrogatepass").decode("utf-8", "replace") for x in texts], pa.string())
+    return pa.RecordBatch.from_arrays([pa.array([source_id] * len(held), pa.int32()), pa.array(numbers, pa.int64()), raw], schema=SPOOLED)
+
+
+def spooled_rows(spark: SparkSession, rows: Iterable[tuple[int, str]], source_id: int = 0, piece: int = SPOOL_LINES) -> DataFrame:
+    """Numbered lines that are read once: the driver takes ``piece`` of them at a time and holds no more than these and a row group.
+
+    Row groups go to a file on the driver's disk; each file is moved to the shared folder once it has SPOOL_FILE bytes.
+    """
+    rows = iter(rows)
+    held = list(islice(rows, piece))
+    if len(held) < piece:
+        return spark.createDataFrame([(source_id, *r) for r in held], LINES)
+    jvm = spark.sparkContext._jvm
+    path = f"{shared_folder(spark)}/spool-{uuid.uuid4().hex}"
+    fs = jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    with tempfile.TemporaryDirectory(prefix="logweave-") as folder:
+        for n in count():
+            name, size = f"part-{n:06d}.parquet", 0
+            with pq.ParquetWriter(f"{folder}/{name}", SPOOLED) as out:
+                while held and size < SPOOL_FILE:
+                    group, most = [], size + SPOOL_GROUP
+                    while held and size < most:
+                        group.append(_batch(source_id, held))
+                        size += group[-1].nbytes
+                        held = list(islice(rows, piece))
+                    out.write_table(pa.Table.from_batches(group), row_group_size=sum(g.num_rows for g in group))
+            fs.copyFromLocalFile(True, True, jvm.org.apache.hadoop.fs.Path(jvm.java.io.File(f"{folder}/{name}").toURI()), jvm.org.apache.hadoop.fs.Path(path, name))
+            if not held:
+                return spark.read.schema(LINES).parquet(path)
 
 
 def spooled_lines(spark: SparkSession, lines: Iterable[str], source_id: int = 0, piece: int = SPOOL_LINES) -> DataFrame:
