@@ -78,14 +78,17 @@ def _opened(write: Callable[[SparkSession, DataFrame], str], spark: SparkSession
     return _shown(LogEngine.open(spark, write(spark, _lines(spark, sf_dir)), cache=False))
 
 
-def _texts(lines: DataFrame) -> Iterator[str]:
+def _texts(spark: SparkSession, lines: DataFrame) -> Iterator[str]:
     """The lines one after another, as a pipe would give them to the driver."""
-    return (r["raw"] + "\n" for r in lines.orderBy("line_id").select("raw").toLocalIterator())
+    with tempfile.TemporaryDirectory(prefix="logweave-") as folder:
+        _log_file(spark, lines, f"{folder}/a.log")
+        with open(f"{folder}/a.log", encoding="utf-8", newline="\n") as f:
+            yield from f
 
 
 def stdin_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Standard input, in pieces of 500 lines through the shared folder."""
-    lines = files.spooled_lines(spark, _texts(_lines(spark, sf_dir)), piece=500)
+    lines = files.spooled_lines(spark, _texts(spark, _lines(spark, sf_dir)), piece=500)
     parsed = records.parse_lines(lines, SourceSpec(), fields={"user": "user"})
     return parsed.select(F.col("seq").alias("line_id"), "ts_micros", F.col("severity").cast("int").alias("severity"), "user")
 

@@ -209,16 +209,8 @@ def spooled_rows(spark: SparkSession, rows: Iterable[tuple[int, str]], source_id
 
 
 def spooled_lines(spark: SparkSession, lines: Iterable[str], source_id: int = 0, piece: int = SPOOL_LINES) -> DataFrame:
-    """Lines of a stream that is read once, such as standard input: the driver holds ``piece`` lines at a time and writes them to the shared folder."""
-    kept = enumerate(_kept(lines))
-    held = list(islice(kept, piece))
-    if len(held) < piece:
-        return given_lines(spark, (x for _, x in held), source_id)
-    path = f"{shared_folder(spark)}/stdin-{uuid.uuid4().hex}"
-    while held:
-        spark.createDataFrame([(source_id, i, x) for i, x in held], "source_id int, seq long, raw string").write.mode("append").parquet(path)
-        held = list(islice(kept, piece))
-    return spark.read.parquet(path)
+    """Lines of a stream that is read once, such as standard input, by ``spooled_rows``."""
+    return spooled_rows(spark, enumerate(_kept(lines)), source_id, piece)
 
 
 def open_lines(spark: SparkSession, path: str, source_id: int = 0, keep_cr: bool = False, array_limit: int = ARRAY_BYTES) -> tuple[DataFrame, str]:

@@ -36,3 +36,11 @@ def test_spooled_rows_of_several_files_and_odd_texts(spark, monkeypatch):
     assert [r["raw"][0] + r["raw"][-1] for r in files.spooled_rows(spark, enumerate([broken] * 3), piece=2).collect()] == ["ab"] * 3
     assert files.spooled_rows(spark, enumerate(["a", "b"]), piece=2).count() == 2
     assert files.spooled_rows(spark, iter(()), piece=2).count() == 0
+
+
+def test_standard_input_takes_no_job_a_piece(spark):
+    """Two thousand pieces make one file, not files and a job a piece."""
+    df = files.spooled_lines(spark, (x for i in range(20_000) for x in (f"line {i}\r\n", "\n")), piece=10)
+    made = df.inputFiles()
+    assert len(made) == 1 and sorted((r["seq"], r["raw"]) for r in df.collect()) == [(i, f"line {i}") for i in range(20_000)]
+    assert len(S.stdin_lines(spark, f"{DATA}/sf0.001").inputFiles()) == 1
