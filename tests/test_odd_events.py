@@ -34,3 +34,9 @@ def test_only_the_year_of_a_malformed_time_is_broken(spark, tmp_path, name):
 
 def test_a_user_like_the_year_is_kept(spark, tmp_path):
     compare(spark, tmp_path, "fmt_regex_malformed", [datetime(2024, 1, 1, 0, 0, 11, 202435)], [7, 2024, 120245])
+
+
+def test_any_year_is_broken_beside_any_user(spark, tmp_path):
+    """Users that hold the digits of their event's year, and years other than that of the given tables."""
+    stamps = [datetime(1969, 12, 31, 23, 59, 59, 196919), datetime(2024, 2, 29, 20, 24, 20), datetime(2031, 12, 31, 20, 31, 20, 203100)]
+    compare(spark, tmp_path, "fmt_regex_malformed", stamps, [0, 1969, 2024, 12031, 202420312024])
